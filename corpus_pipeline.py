@@ -1,8 +1,52 @@
-"""From raw documents to packed sequences: five stages, each over all that the one before it kept."""
+"""From raw documents to packed sequences: five stages, each over all that the one before it kept.
 
-STAGES = []
+Stages 1 to 4 return the columns of `documents`; the last returns pieces of packed sequences. SQL cannot express the
+classifier and the packing, so there is no ORACLE_SQL; tests hold the stages against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tilewright.llm import mixing, near_dup, packing, quality, suffix_dedup
+from tilewright.llm.common import keep, table
+
+#: Documents with a score below this go.
+REJECT = 0.3
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality classifier rejects."""
+    return quality.select_good(docs, quality.train(docs, table(spark, sf_dir, "labels")), REJECT)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, similarity 0.8) the document with the smallest id."""
+    gone = near_dup.near_duplicates(docs, size=5, percent=80).filter("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 50 bytes that an earlier document has."""
+    return suffix_dedup.remove_repeats(docs, length=50)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time the mix takes a document."""
+    return mixing.resample(docs, mixing.label_weights(table(spark, sf_dir, "labels")))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality", good_documents), ("near_dedup", one_of_near_copies), ("suffix_dedup", without_repeats), ("mixing", mixed), ("packing", packed)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -56,3 +56,11 @@ def words_count(text):
 
 def utf8_bytes(text):
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def release(df: DataFrame) -> None:
+    """Have Spark delete the shuffle files of what is finished: it does so when the driver collects its garbage."""
+    import gc
+
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()

@@ -82,6 +82,15 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights=(5, 2, 1), sh
     return d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def resample(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
+    """The rows of docs, each as often as mix() takes it. Rows that agree in id, source and size all get the most copies any of them has."""
+    m = mix(docs, quality, **options).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("__copies")).filter("__copies > 0")
+    m = m.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__copies")
+    d = docs.withColumn("__words", words_count(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")) & F.col("source").eqNullSafe(F.col("__source"))
+    return d.join(m, same).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+
+
 def label_weights(labels: DataFrame) -> DataFrame:
     """Sampling weights from quality labels: good 2, bad 0.5; whatever has no label stays at 1."""
     return labels.filter("quality is not null").select("doc_id", F.when(F.col("quality") > 0, 2.0).otherwise(0.5).alias("weight"))

@@ -183,3 +183,14 @@ def score(docs: DataFrame, model: Model, cols: list[str] = ("doc_id",)) -> DataF
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], [*b.schema.names[:-1], "score"])
 
     return inputs.mapInArrow(f, schema)
+
+
+def select_good(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The rows of docs whose text scores `threshold` or more, all columns as they are."""
+    text = docs.columns.index("text")
+
+    def f(batches):
+        for b in batches:
+            yield b.filter(pa.array(model.score(matrix(b.column(text).to_pylist())) >= threshold))
+
+    return docs.mapInArrow(f, docs.schema)

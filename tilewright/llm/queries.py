@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, quality, token_counts, url_filter, warc
+from . import fingerprints, mixing, near_dup, nearest, packing, quality, suffix_dedup, token_counts, url_filter, warc
 from .common import keep, table
 
 
@@ -13,6 +13,14 @@ def op1_mix_sources(spark, sf_dir):
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op2_near_dup(spark, sf_dir):
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=50, digest=True)
+
+
 def op4_token_counts(spark, sf_dir, limit: int = 4096):
     n = token_counts.count_tokens(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
     return n.withColumn("over_limit", F.col("n_tokens") > limit)
@@ -33,6 +41,10 @@ FROM p LEFT JOIN f ON p.d = f.d
 """
 
 
+def op6_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json", window=2048, end=1)
+
+
 def op7_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -43,6 +55,10 @@ def op8_quality(spark, sf_dir, threshold: float = 0.3):
     return scored.select("doc_id", F.coalesce(quality.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"))
 
 
+def op9_nearest(spark, sf_dir):
+    return nearest.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op10_fingerprints(spark, sf_dir):
     f = fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
     like, fp = fingerprints.likeness, F.col("fp")
@@ -52,5 +68,5 @@ def op10_fingerprints(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_token_counts, op5_warc, op7_url_filter, op8_quality, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_dup, op3_suffix_dedup, op4_token_counts, op5_warc, op6_packing, op7_url_filter, op8_quality, op9_nearest, op10_fingerprints)}
 SQL = {"op1_mix_sources": mixing.SQL, "op5_warc": OP5_SQL}

@@ -83,16 +83,18 @@ def write_records(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(f, "archive string, content binary")
 
 
-def members(content: bytes):
-    """The decompressed gzip members of an archive, one after the other."""
-    view = memoryview(content)
-    while len(view):
-        z = zlib.decompressobj(31)
-        raw = z.decompress(view)
-        yield raw + z.flush()
-        if not z.eof:
-            raise ValueError("the archive ends within a record")
-        view = view[len(view) - len(z.unused_data) :]
+def members(content: bytes, step: int = 1 << 14):
+    """The decompressed gzip members of an archive, one after the other, fed in small steps: what lies behind a member's end is copied."""
+    view, at = memoryview(content), 0
+    while at < len(view):
+        z, out = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(view):
+                raise ValueError("the archive ends within a record")
+            out.append(z.decompress(view[at : at + step]))
+            at += len(view[at : at + step])
+        at -= len(z.unused_data)
+        yield b"".join(out)
 
 
 def parse(raw: bytes) -> tuple[str, dict[str, str], bytes]:

@@ -1 +1 @@
-
+"""Readers: tile directories, archives, georeferenced rasters."""

@@ -78,6 +78,21 @@ def neighbours(docs: DataFrame) -> DataFrame:
     return inner.select("doc_id", F.coalesce("n", "after").alias("next_id"), prev["doc_id"].alias("prev_id"), prev["quarter"].alias("prev_quarter"))
 
 
+def _votes(d: DataFrame) -> DataFrame:
+    """d: doc_id, th, text, next_id, head. Fingerprints of the text and of the edited text, whole rows of d grouped where they lie."""
+    d = d.withColumn("n_chars", F.length("text").cast("long")).withColumn("quarter", F.floor(F.col("n_chars") / 4).cast("int"))
+    edited = F.expr("concat(substring(text, 1, cast(n_chars - quarter as int)), coalesce(substring(head, 1, quarter), ''))")
+    d = d.select("doc_id", "th", "n_chars", "next_id", "text", edited.alias("edited"))
+    d = d.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    d = with_words(with_words(d, "text", "words"), "edited", "edited_words")
+    tagged = lambda c, tag: F.struct(terms(c).alias("terms"), F.lit(tag).alias("tag"))
+    key = ["doc_id", "th", "n_chars", "next_id", "edited_sha256", "tag"]
+    d = d.select(*key[:-1], F.explode(F.array(tagged("words", 0), tagged("edited_words", 1))).alias("v"))
+    d = d.select(*key[:-1], "v.tag", F.explode_outer("v.terms").alias("t")).select(*key, "t.h", "t.w")
+    votes = d.groupBy(*key).agg(*vote_sums()).select(*key, fingerprint().alias("fp"))
+    return votes.groupBy(*key[:-1]).agg(F.max(F.when(F.col("tag") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("tag") == 1, F.col("fp"))).alias("edited_fp"))
+
+
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fp, edited_fp, next_fp, next_id; edited: the last quarter of the text
     replaced by the beginning of the next document's.
@@ -87,21 +102,13 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     hash is taken. Equal rows stay as many as they are.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    d = rows.join(neighbours(docs), "doc_id", "left")
-    heads = d.filter("prev_id is not null").select(F.col("prev_id").alias("doc_id"), F.struct("th", F.expr("substring(text, 1, prev_quarter)").alias("head")).alias("h"))
+    # Both uses of this join read one shuffle of the texts; the hint keeps them shuffled at any size, so figures grow evenly.
+    near = keep(neighbours(docs), "neighbours").hint("merge")
+    d = rows.filter("doc_id is not null").join(near, "doc_id")
+    heads = d.select(F.col("prev_id").alias("doc_id"), F.struct("th", F.expr("substring(text, 1, prev_quarter)").alias("head")).alias("h"))
     heads = heads.groupBy("doc_id").agg(F.min("h")["head"].alias("head"))
-    d = d.join(heads, "doc_id", "left").withColumn("n_chars", F.length("text").cast("long")).withColumn("quarter", F.floor(F.col("n_chars") / 4).cast("int"))
-    edited = F.expr("concat(substring(text, 1, cast(n_chars - quarter as int)), coalesce(substring(head, 1, quarter), ''))")
-    d = d.select("doc_id", "th", "n_chars", "next_id", "text", edited.alias("edited"))
-    d = d.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    d = with_words(with_words(d, "text", "words"), "edited", "edited_words")
-    tagged = lambda c, tag: F.struct(terms(c).alias("terms"), F.lit(tag).alias("tag"))
-    key = ["doc_id", "th", "n_chars", "next_id", "edited_sha256", "tag"]
-    d = d.select(*key[:-1], F.explode(F.array(tagged("words", 0), tagged("edited_words", 1))).alias("v"))
-    d = d.select(*key[:-1], "v.tag", F.explode_outer("v.terms").alias("t")).select(*key, "t.h", "t.w")
-    votes = d.groupBy(*key).agg(*vote_sums()).select(*key, fingerprint().alias("fp"))
-    both = votes.groupBy(*key[:-1]).agg(F.max(F.when(F.col("tag") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("tag") == 1, F.col("fp"))).alias("edited_fp"))
-    both = keep(both, "votes")
+    none = rows.filter("doc_id is null").withColumns({"next_id": F.lit(None).cast(docs.schema["doc_id"].dataType), "head": F.lit("")})
+    both = keep(_votes(d.join(heads, "doc_id", "left")).unionByName(_votes(none)), "votes")
     nexts = both.groupBy(F.col("doc_id").alias("next_id")).agg(F.min_by("fp", "th").alias("next_fp"))
     times = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).groupBy("doc_id", "th").agg(F.count("*").alias("times")).filter("times > 1")
     out = both.join(nexts, "next_id", "left").join(times.withColumnRenamed("doc_id", "i").withColumnRenamed("th", "t"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left")

@@ -10,7 +10,9 @@ which take no padding.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -22,36 +24,72 @@ from .common import keep
 
 WINDOW, END = 2048, 1
 #: Words whose ids a worker keeps; beyond that they are forgotten.
-MEMO = 900_000
+MEMO = 800_000
+#: Marks that are split off from letters before them.
+MARKS = ".,;:!?#$%&*|"
 #: Rows that share a tail length and a bucket, about; only these are ever ranked by one task.
 BUCKET = 100_000
 
 
 class WordIds:
     """Ids of whole texts, put together from those of space-separated words: this vocabulary drops white space, and neither its
-    normaliser nor its patterns look beyond it."""
+    normaliser nor its patterns look beyond it. Words of letters go straight to the vocabulary's merges, others through the whole tokenizer."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer, self.memo = Tokenizer.from_file(vocabulary), {}
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        tokenizer = Tokenizer.from_file(vocabulary)
+        if tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
+        self.tokenizer, model, level = tokenizer, tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        # How bytes are written: two-byte letters give every byte from 0x80, one character at a time.
+        written = {i: chr(i) for i in range(128)}
+        for c in map(chr, [*range(0xC0, 0x7C0), 0x4E00, *range(0x1000, 0xFFFF, 0x800)]):
+            if c.isalpha():
+                written |= dict(zip(c.encode(), level.pre_tokenize_str(c)[0][0], strict=True))
+
+        class Cores(dict):
+            """Ids of words in lower case, marks behind them apart."""
+
+            def __missing__(self, core: str) -> bytes:
+                if len(self) > MEMO:
+                    self.clear()
+                if not core.isalpha() or core != core.lower():
+                    ids = tokenizer.encode(core, add_special_tokens=False).ids
+                elif core.isascii():
+                    ids = [t.id for t in model.tokenize(core)]
+                elif unicodedata.is_normalized("NFC", core) and (raw := core.encode()) and all(b in written for b in raw):
+                    ids = [t.id for t in model.tokenize("".join(map(written.__getitem__, raw)))]
+                else:
+                    ids = tokenizer.encode(core, add_special_tokens=False).ids
+                out = self[core] = array("H", ids).tobytes()
+                return out
+
+        cores = Cores()
+
+        class Words(dict):
+            def __missing__(self, word: str) -> bytes:
+                if len(self) > MEMO:
+                    self.clear()
+                core = word.rstrip(MARKS)
+                # The patterns split marks off the letters before them, and nothing before changes them.
+                if core and core[-1].isalpha() and "Σ" not in core and "İ" not in core and "<|" not in word:
+                    out = cores[core.lower()]
+                    if len(core) < len(word):
+                        out += cores[word[len(core) :]]
+                else:
+                    out = cores[word]
+                self[word] = out
+                return out
+
+        self.words = Words()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        memo = self.memo
-        new = list(set().union(*words) - memo.keys())
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list(set().union(*words))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, "<u2").tobytes()
-        return [b"".join(map(memo.__getitem__, w)) for w in words]
+        ids = self.words.__getitem__
+        return [b"".join(map(ids, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 _loaded: dict[str, WordIds] = {}

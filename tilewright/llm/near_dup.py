@@ -6,8 +6,10 @@ hashes in all. With 12 groups of 3, two sets of similarity 0.85 miss each other
 probability 2.3e-5, those of 0.8 with 1.3e-4.
 
 Equal sets are one class from the start, so copies never meet. Table keys are only built from groups that another class has too, which
-leaves all but near copies out before the tables are dealt. Within a bucket all members are compared with one pivot; who is
-linked with it is settled. Buckets that still hold several components go on to further rounds.
+leaves all but near copies out before the tables are dealt. In a bucket all members are compared with one pivot, so work is linear in the
+bucket, and those linked with it are settled. Where a pivot's members still lie in several components, those
+not linked with it are searched against all its members, in blocks: a task holds two blocks and gives out links alone. Every pair of
+a bucket is thus linked with its pivot on both sides, known to be in one component, or compared on full sets; there is no cap.
 """
 
 from __future__ import annotations
@@ -115,21 +117,88 @@ def set_table(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(f, "rep long, set binary")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs x, y those with 100 * intersection >= percent * union. A pivot's set is joined to its pairs; Spark splits hot pivots."""
+def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """x, y, linked of pairs, on their full sets: 100 * intersection >= percent * union. A pivot's set is joined to its pairs; Spark splits hot pivots."""
 
     def f(batches):
         for b in batches:
-            ok = []
+            linked = []
             for s, t in zip(b.column(2), b.column(3), strict=True):
                 s, t = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
-                both = int(np.count_nonzero(s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t))
-                ok.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["x", "y"]).filter(pa.array(ok))
+                both = shared_count(s, t)
+                linked.append(100 * both >= percent * (len(s) + len(t) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], ["x", "y", "linked"])
 
     with_y = pairs.join(sets.select(F.col("rep").alias("y"), F.col("set").alias("set_y")), "y")
     both = with_y.join(sets.select(F.col("rep").alias("x"), F.col("set").alias("set_x")), "x").select("x", "y", "set_x", "set_y")
-    return both.mapInArrow(f, "x long, y long").distinct()
+    return both.mapInArrow(f, "x long, y long, linked boolean")
+
+
+def shared_count(s: np.ndarray, t: np.ndarray) -> int:
+    return int(np.count_nonzero(s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t))
+
+
+def pivoted(buckets: DataFrame) -> DataFrame:
+    """key, x, y: each member of a bucket with the bucket's smallest."""
+    pivot = buckets.groupBy("key").agg(F.min("rep").alias("x"))
+    return buckets.join(pivot, "key").filter("rep != x").select("key", "x", F.col("rep").alias("y"))
+
+
+#: Members of a block.
+BLOCK = 512
+
+
+def intersections(u: list[np.ndarray], v: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of all intersections of sorted sets u and v: products of their membership matrices, some columns at a time."""
+    fu, fv = np.concatenate(u), np.concatenate(v)
+    ru, rv = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (u, v))
+    common = np.intersect1d(fu, fv)
+    iu, iv = np.searchsorted(common, fu), np.searchsorted(common, fv)
+    ku, kv = (common[np.minimum(i, len(common) - 1)] == f if len(common) else np.zeros(len(f), bool) for i, f in ((iu, fu), (iv, fv)))
+    (iu, ru), (iv, rv) = (iu[ku], ru[ku]), (iv[kv], rv[kv])
+    (iu, ru), (iv, rv) = ((i[o], r[o]) for i, r, o in ((iu, ru, np.argsort(iu, kind="stable")), (iv, rv, np.argsort(iv, kind="stable"))))
+    out = np.zeros((len(u), len(v)), np.float32)
+    for at in range(0, len(common), width):
+        n = min(width, len(common) - at)
+        m = []
+        for i, r, rows in ((iu, ru, len(u)), (iv, rv, len(v))):
+            a, b = np.searchsorted(i, [at, at + n])
+            x = np.zeros((rows, n), np.float32)
+            x[r[a:b], i[a:b] - at] = 1
+            m.append(x)
+        out += m[0] @ m[1].T
+    return np.rint(out).astype(np.int64)
+
+
+def block_links(m: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """x, y: links between members of one pivot that are in different components, one of them not linked with the pivot.
+    m: x, y, component, linked."""
+    sizes = m.groupBy("x").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nv"), F.ceil(F.count_if(~F.col("linked")) / BLOCK).cast("int").alias("nu")).filter("nu > 0")
+    d = m.join(sizes, "x").join(sets.withColumnRenamed("rep", "y"), "y").select("x", "y", "component", "linked", "set", "nu", "nv")
+    block = lambda n: F.pmod(F.xxhash64("y", F.lit(1)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["x", "i", "j", "y", "component", "set"]
+    u = d.filter(~F.col("linked")).withColumn("i", block("nu")).withColumn("j", every("nv")).select(*(F.col(c).alias(c) for c in columns))
+    v = d.withColumn("j", block("nv")).withColumn("i", every("nu")).select(*(F.col(c).alias(c) for c in columns))
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if len(left) and len(right):
+            (su, yu, cu), (sv, yv, cv) = (([np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("set")], t.column("y").to_numpy(), t.column("component").to_numpy()) for t in (left, right))
+            nu, nv = np.array([len(s) for s in su]), np.array([len(s) for s in sv])
+            ask = (cu[:, None] != cv) & (100 * np.minimum(nu[:, None], nv) >= percent * np.maximum(nu[:, None], nv))
+            # By pairs where few are asked for, else all at once.
+            if 40 * ask.sum() < len(su) * len(sv):
+                both = np.zeros(ask.shape, np.int64)
+                for i, j in zip(*np.nonzero(ask), strict=True):
+                    both[i, j] = shared_count(su[i], sv[j])
+            else:
+                both = intersections(su, sv)
+            i, j = np.nonzero(ask & (100 * both >= percent * (nu[:, None] + nv - both)))
+            a, b = np.minimum(yu[i], yv[j]), np.maximum(yu[i], yv[j])
+        return pa.table({"x": pa.array(a, pa.int64()), "y": pa.array(b, pa.int64())})
+
+    return u.groupBy("x", "i", "j").cogroup(v.groupBy("x", "i", "j")).applyInArrow(search, "x long, y long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -162,12 +231,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared(keys: DataFrame) -> DataFrame:
-    """Rows rep, n, key whose key another rep has too."""
+    """Rows rep, key whose key another rep has too."""
     many = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key")
     return keys.join(many, "key", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, groups: int = 12, rows: int = 3, pivots: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, groups: int = 12, rows: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text).
 
     component_id: the smallest doc_id linked with the document, over any number of links, itself included. Documents
@@ -178,39 +247,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, groups: i
     name = ["n_shingles", "lo", "hi"]
     usable = sk.filter("n_shingles > 0 and doc_id is not null")
     classes = keep(usable.groupBy(*name).agg(F.min(F.struct("doc_id", "a", "b")).alias("m"), F.max("doc_id").alias("last")).select(F.col("m.doc_id").alias("rep"), *name, "last", "m.a", "m.b"), "classes")
-    side = lambda c: keep(shared(classes.select("rep", F.col("n_shingles").alias("n"), F.explode(c).alias("key"))), f"shared-{c}")
+    side = lambda c: keep(shared(classes.select("rep", F.explode(c).alias("key"))), f"shared-{c}")
     a, b = side("a"), side("b")
-    tables = a.join(b.select("rep", F.col("n").alias("m"), F.col("key").alias("key_b")), "rep").filter("n = m").select("rep", "n", F.xxhash64("key", "key_b").alias("key"))
-    buckets = keep(shared(tables), "buckets")
+    buckets = keep(shared(a.join(b.select("rep", F.col("key").alias("key_b")), "rep").select("rep", F.xxhash64("key", "key_b").alias("key")).distinct()), "buckets")
     sets = keep(set_table(docs, buckets.select("rep").distinct(), size), "sets")
     release(docs)
 
-    near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent  # else even a subset is not near enough
-
-    def pivoted(t):
-        pivot = t.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("p")).select("key", F.col("p.rep").alias("x"), F.col("p.n").alias("m"))
-        return t.join(pivot, "key").filter("rep != x")
-
     # Rows that share an id hold several classes together.
     edges = keep(usable.join(classes.select("rep", *name), name).filter("rep != doc_id").join(classes.select(F.col("rep").alias("doc_id")), "doc_id").select(F.col("rep").alias("x"), F.col("doc_id").alias("y")).distinct(), "links")
-    left = buckets
-    for _ in range(pivots):
-        t = pivoted(left)
-        pairs = t.filter(near).select("x", F.col("rep").alias("y")).distinct()
-        edges = keep(edges.unionByName(confirm(pairs, sets, percent)), "links")
-        comp = components(edges)
-        # The pivot is done with. What is left of a bucket matters if it lies in several components.
-        left = t.select("key", "rep", "n").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        open_keys = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-        left = keep(left.join(open_keys, "key", "left_semi"), "left")
-        if left.isEmpty():
-            break
-    else:
-        # Candidates that pivots did not settle: members of different components, by the sizes of sets that can be near.
-        q = left.select("key", F.col("rep").alias("x"), F.col("n").alias("m"), F.col("component").alias("other"))
-        pairs = left.join(q, "key").filter((F.col("rep") > F.col("x")) & (F.col("component") != F.col("other")) & near).select("x", F.col("rep").alias("y")).distinct()
-        edges = keep(edges.unionByName(confirm(pairs, sets, percent)), "links")
-        comp = components(edges)
+    members = pivoted(buckets)
+    seen = keep(compare(members.select("x", "y").distinct(), sets, percent), "compared")
+    edges = keep(edges.unionByName(seen.filter("linked").select("x", "y")).distinct(), "links")
+    comp = components(edges)
+    # What is left of a bucket matters where it lies in several components, not all linked with the pivot.
+    m = members.join(seen, ["x", "y"]).join(comp.select(F.col("node").alias("y"), "component"), "y", "left").withColumn("component", F.coalesce("component", "y"))
+    open_ = m.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bool_and("linked").alias("settled")).filter("low < high and not settled").select("key")
+    m = keep(m.join(open_, "key", "left_semi").select("x", "y", "component", "linked").distinct(), "open")
+    more = keep(block_links(m, sets, percent), "more-links")
+    if not more.isEmpty():
+        comp = components(edges.unionByName(more))
     # Only classes with several documents or with links need the joins.
     of_class = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").filter("last != rep or component is not null").select(*name, F.coalesce("component", "rep").alias("component"))
     out = sk.select("doc_id", *name).join(of_class, name, "left")

@@ -82,25 +82,36 @@ def _kernel(name: str, d: np.ndarray) -> np.ndarray:
     return np.where(d < 3, np.sinc(d) * np.sinc(d / 3), 0)
 
 
-def weights(position: np.ndarray, size: int, kernel: str) -> tuple[np.ndarray, np.ndarray]:
-    """(targets, taps) source indices and weights; the kernel widens with the scale where the source is finer. Taps outside the source weigh nothing."""
-    scale = max(1.0, float(np.median(np.abs(np.diff(position)))) if len(position) > 1 else 1.0)
+def weights(position: np.ndarray, scale: np.ndarray, size: int, kernel: str) -> tuple[np.ndarray, np.ndarray]:
+    """(targets, taps) source indices and weights. scale: source pixels a target pixel covers; the kernel widens with it where the source is finer.
+    A target's taps depend on itself alone, so results do not depend on chunks. Taps outside the source weigh nothing."""
+    p, s = position[:, None], np.maximum(1.0, scale)[:, None]
     if kernel == "nearest":
-        i = np.floor(position + 0.5).astype(np.int64)[:, None]
+        i = np.floor(p + 0.5).astype(np.int64)
         w = np.ones(i.shape)
     elif kernel == "average":
-        lo, n = position - scale / 2, int(np.ceil(scale)) + 1
-        i = np.floor(lo + 0.5).astype(np.int64)[:, None] + np.arange(n)
-        w = np.clip(np.minimum(i + 0.5, position[:, None] + scale / 2) - np.maximum(i - 0.5, lo[:, None]), 0, None)
+        lo, n = p - s / 2, int(np.ceil(s.max())) + 1
+        i = np.floor(lo + 0.5).astype(np.int64) + np.arange(n)
+        w = np.clip(np.minimum(i + 0.5, p + s / 2) - np.maximum(i - 0.5, lo), 0, None)
     else:
-        r = _RADIUS[kernel] * scale
-        i = np.floor(position - r).astype(np.int64)[:, None] + 1 + np.arange(int(np.ceil(2 * r)))
-        w = _kernel(kernel, (i - position[:, None]) / scale)
+        r = _RADIUS[kernel] * s
+        i = np.floor(p - r).astype(np.int64) + 1 + np.arange(int(np.ceil(2 * r.max())))
+        w = _kernel(kernel, (i - p) / s)
     w = np.where((i >= 0) & (i < size), w, 0)
-    total = w.sum(1, keepdims=True)
+    total = sum(w[:, k] for k in range(w.shape[1]))[:, None]
     return np.clip(i, 0, size - 1), np.divide(w, total, out=np.zeros_like(w), where=np.abs(total) > 1e-12)
 
 
+def source_scales(r: Raster, py: np.ndarray, across: float) -> tuple[float, np.ndarray]:
+    """Source columns and rows that a target pixel covers."""
+    side = grid.SPAN / across
+    if r.epsg == 3857:
+        return side / r.gt[1], np.full(len(py), -side / r.gt[5])
+    degrees = side / grid.HALF * 180.0
+    lat = 2 * np.arctan(np.exp((grid.HALF - (py + 0.5) / across * grid.SPAN) / grid.HALF * np.pi)) - np.pi / 2
+    return degrees / r.gt[1], -degrees * np.cos(lat) / r.gt[5]
+
+
 def source_positions(r: Raster, px: np.ndarray, py: np.ndarray, across: float) -> tuple[np.ndarray, np.ndarray]:
     """Source column of each target column centre and row of each target row centre; target pixels counted from the
     map's corner, `across` of them to a side of the map."""
@@ -135,11 +146,12 @@ def render_area(r: Raster, px: np.ndarray, py: np.ndarray, across: float, strate
     cx, cy = inside(cols, r.width), inside(rows, r.height)
     if not len(cx) or not len(cy):
         return out
-    xi, xw = weights(cols[cx], r.width, kernel)
+    wide_by, high_by = source_scales(r, py, across)
+    xi, xw = weights(cols[cx], np.full(len(cx), wide_by), r.width, kernel)
     a, b = int(xi.min()), int(xi.max()) + 1
     for i in range(0, len(cy), 256):
         part = cy[i : i + 256]
-        yi, yw = weights(rows[part], r.height, kernel)
+        yi, yw = weights(rows[part], high_by[part], r.height, kernel)
         top = int(yi.min())
         s = r.read(a, top, b, int(yi.max()) + 1)[:, :, :bands].astype(float)
         wide = sum(s[:, xi[:, k] - a] * xw[:, k, None] for k in range(xi.shape[1]))

@@ -1,15 +1,17 @@
 """Removal of long byte strings that a document shares with an earlier one.
 
-1. Candidates. A string of `length` bytes holds length - K + 1 runs of K bytes; the one with the smallest hash is its anchor.
-   Equal strings have equal anchors. Texts are dealt into batches; each batch sends the hashes of its anchors,
-   once each, to the range of hashes they fall in, and gets back those that several documents have.
-2. Runs of strings whose anchor is shared are written as segments. Equal segments become one, with
-   the smallest document that has it, before anything meets in one place.
-3. Segments with the same anchor meet in a bin of bounded size. There the suffixes are sorted, and common prefixes are derived
-   by threshold-bounded interval expansion on the Burrows-Wheeler transform: all intervals of prefixes of l bytes, from those of
-   l - 1 bytes by backward extension, breadth first, for l = 1, 2, ... up to `length` and no further. What is one interval at the end
-   shares `length` bytes; its smallest document is the earliest.
-4. Each segment's documents learn where an earlier one has the string, and the covered bytes go.
+1. Texts that an earlier document has as a whole are settled by their hash, and take no further part.
+2. Candidates. A string of `length` bytes holds length - K + 1 runs of K bytes; the one with the smallest hash, the leftmost
+   of several, is its anchor. Equal strings have equal anchors at the same place. Texts are dealt into batches; each batch sends the
+   hashes of its anchors, once each, to the range of hashes they fall in, and gets back those that several documents have.
+3. Neighbouring strings with one anchor that is shared are written as one segment. Equal segments become one, with the smallest document
+   that has it, before anything meets in one place.
+4. Segments with the same anchor meet in a bin. The suffixes that begin at anchors are sorted; their common prefixes of
+   length - j bytes are the first intervals. Breadth-first backward extension, the step of a Burrows-Wheeler transform (a
+   stable sort by the byte before each suffix), turns them into the intervals of length - j + 1, ... bytes, and stops at `length`: an
+   interval's strings are then equal, and its smallest document is the earliest. Intervals of one row are dropped as they arise. A transform of the whole corpus
+   is never needed: strings with different anchors are never equal.
+5. Each segment's documents learn where an earlier one has the string, and the covered bytes go.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, release
+from .common import drop_kept, keep, release
 
 K = 20
 #: Bytes of text in a batch, of anchor hashes in a range, of segments in a bin, about.
-BATCH, RANGE, BIN = 3 << 20, 24 << 20, 2 << 20
+BATCH, RANGE, BIN = 3 << 20, 24 << 20, 8 << 20
+#: Low bits of a sliding minimum that hold the place; a batch of texts, or one text, may have so many bytes.
+PLACE = np.uint64((1 << 30) - 1)
 LOW = np.uint64((1 << 40) - 1)
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 _TABLE = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64)
@@ -46,20 +50,22 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(h) - width + 1], m[width - w : len(h) - w + 1]) if w < width else m
 
 
-def anchor_runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring strings with one anchor: its hash, the text's number, start and number of strings."""
+def anchor_runs(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """Runs of neighbouring strings with one anchor: its hash, the text's number, start, number of strings, bytes before the anchor."""
     sizes = np.array([len(t) for t in texts], np.int64)
     raw = np.frombuffer(b"".join(texts), np.uint8)
     none = np.zeros(0, np.int64)
     if len(raw) < length:
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
+    if len(raw) > int(PLACE):
+        raise ValueError("a text of more than 1 GiB")
     h1 = _TABLE[raw]
     h2 = h1[:-1] * _MULT[0] + h1[1:]
     h4 = h2[:-2] * _MULT[1] + h2[2:]
     h8 = h4[:-4] * _MULT[2] + h4[4:]
     h16 = h8[:-8] * _MULT[3] + h8[8:]
     h = mix(h16[:-4] * _MULT[4] + h4[16:])
-    least = sliding_min(h, length - K + 1)
+    least = sliding_min((h & ~PLACE) | np.arange(len(h), dtype=np.uint64), length - K + 1)
     ends = np.cumsum(sizes)
     starts = ends - sizes
     cut = np.zeros(len(least) + 1, bool)  # where a run begins or strings run over a text's end
@@ -74,8 +80,9 @@ def anchor_runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray
     first, n = at[:-1], np.diff(at)
     good = whole[first]
     first, n = first[good], n[good]
+    anchor = (least[first] & PLACE).astype(np.int64)
     doc = np.searchsorted(ends, first, side="right")
-    return mix(least[first] ^ _MULT[1]), doc, first - starts[doc], n
+    return mix(h[anchor] ^ _MULT[1]), doc, first - starts[doc], n, anchor - first
 
 
 def pack(v: np.ndarray) -> bytes:
@@ -93,60 +100,43 @@ def range_of(v: np.ndarray, ranges: int) -> np.ndarray:
     return ((v >> np.uint64(40)) * np.uint64(ranges)) >> np.uint64(24)
 
 
-def prefix_groups(codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order by the first `length` codes, and for each place in it the length of the prefix it shares with the one before,
-    where that is shorter than `length`; else `length`."""
-    n = len(codes)
-    big = np.zeros(n + 8, np.uint64)
-    big[:n] = codes
-    key = np.zeros(n, np.uint64)
-    for i in range(6):  # 9 bits a code
-        key = (key << np.uint64(9)) | big[i : n + i]
-    have = min(6, length)
-    if length < 6:
-        key >>= np.uint64(9 * (6 - length))
-    rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
-    while have < length:
-        step = min(have, length - have)
-        tail = np.zeros(n, np.uint64)
-        tail[: n - step] = rank[step:] + np.uint64(1)
-        rank = np.unique(rank * np.uint64(n + 2) + tail, return_inverse=True)[1].astype(np.uint64)
-        have += step
-    order = np.argsort(rank, kind="stable").astype(np.int32)
-    place = np.empty(n, np.int32)
-    place[order] = np.arange(n, dtype=np.int32)
-    head = codes[order]
-    follow = place[np.minimum(order + 1, n - 1)]  # the row whose backward extension by its preceding code a row is
-    shared = np.full(n, length, np.uint8 if length < 255 else np.int32)
-    bound = np.ones(n, bool)
-    bound[1:] = head[1:] != head[:-1]
-    shared[bound] = 0
-    active = np.flatnonzero(~bound)
-    for l in range(1, length):  # noqa: E741
-        if not len(active):
-            break
-        interval = np.cumsum(bound, dtype=np.int32)
-        new = interval[follow[active]] != interval[follow[active - 1]]
-        shared[active[new]] = l
-        bound[active[new]] = True
-        active = active[~new]
-    return order, shared
-
-
-def earliest(segments: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each segment and each string of `length` bytes in it the smallest document of any segment that has the string."""
-    flat = np.frombuffer(b"\xff".join(segments) + b"\xff", np.uint8).astype(np.int32) + 1
+def earliest(segments: list[bytes], before: np.ndarray, docs: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each segment and each string of `length` bytes in it the smallest document of any segment that has the string at the same
+    place of its anchor. before: bytes of a segment before its anchor."""
+    n, wide = len(segments), length - K
     sizes = np.array([len(s) for s in segments], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    flat[starts + sizes] = 0
-    order, shared = prefix_groups(flat, length)
-    of = np.repeat(docs, sizes + 1)
-    # A suffix that runs into the end of its segment is no string of `length` bytes and equals none that is.
-    group = np.flatnonzero(shared < length)
-    low = np.minimum.reduceat(of[order], group)
-    least = np.empty(len(flat), np.int64)
-    least[order] = np.repeat(low, np.diff(np.concatenate([group, [len(order)]])))
-    return [least[s : s + n - length + 1] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    right = sizes - before
+    flat = np.frombuffer(b"".join(segments) + bytes(length), np.uint8)
+    begin = np.cumsum(sizes) - sizes
+    cols = np.arange(length)
+    after = np.where(cols < right[:, None], flat[np.minimum((begin + before)[:, None] + cols, len(flat) - 1)], 0).astype(np.uint8)
+    ahead = np.where(cols[:wide] < before[:, None], flat[np.maximum((begin + before - 1)[:, None] - cols[:wide], 0)], 0).astype(np.uint8)
+    order = np.argsort(np.ascontiguousarray(after).view(f"S{length}").ravel(), kind="stable")
+    differ = after[order][1:] != after[order][:-1]
+    prefix = np.concatenate([[0], np.where(differ.any(1), differ.argmax(1), length)])  # common with the row before
+    out = np.repeat(docs[:, None], wide + 1, 1)
+    for j in range(wide + 1):  # strings that begin j bytes before their anchor
+        rows, interval = order, np.cumsum(prefix < length - j)
+        has = (before[rows] >= j) & (right[rows] >= length - j) & (before[rows] - j <= sizes[rows] - length)
+        rows, interval = rows[has], interval[has]
+        for step in range(j + 1):
+            if step:
+                byte = ahead[rows, step - 1]
+                by = np.argsort(byte, kind="stable")
+                rows, byte, interval = rows[by], byte[by], interval[by]
+                new = (interval[1:] != interval[:-1]) | (byte[1:] != byte[:-1])
+            else:
+                new = interval[1:] != interval[:-1]
+            new = np.concatenate([[True], new, [True]])[: len(rows) + 1] if len(rows) else np.zeros(1, bool)
+            interval = np.cumsum(new[:-1])
+            several = ~(new[:-1] & new[1:])
+            rows, interval = rows[several], interval[several]
+            if not len(rows):
+                break
+        if len(rows):
+            first = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
+            out[rows, j] = np.repeat(np.minimum.reduceat(docs[rows], first), np.diff(np.concatenate([first, [len(rows)]])))
+    return [out[i, b - k : b + 1][::-1] for i, (b, k) in enumerate(zip(before.tolist(), (sizes - length).tolist(), strict=True))]
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -166,16 +156,31 @@ def batches_of(docs: DataFrame, columns: list[str], count: int) -> DataFrame:
     return docs.select(F.pmod(F.xxhash64(id_), F.lit(count)).alias("__batch"), id_.alias("__id"), F.xxhash64("text").alias("__th"), *columns).repartition(count, "__batch")
 
 
-def segments(docs: DataFrame, length: int, count: int, ranges: int) -> DataFrame:
-    """v, seg, doc_id, th, start: the segments of all runs whose anchor several documents have."""
-    t = batches_of(docs.filter("doc_id is not null"), ["text"], count)
+def copies(docs: DataFrame) -> DataFrame:
+    """doc_id, th, size of the documents whose text a document with a smaller id has. Only hashes and ids move."""
+    id_ = F.col("doc_id").cast("long")
+    d = docs.filter("doc_id is not null").select(id_.alias("doc_id"), F.xxhash64("text").alias("th"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    first = d.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    return d.join(first, "sha").filter("doc_id > first").select("doc_id", "th", "size").distinct()
 
-    def read(table):
-        return [(x or "").encode("utf-8", "surrogatepass") for x in table.column("text").to_pylist()]
 
-    def send(table: pa.Table) -> pa.Table:
-        v, doc, _, _ = anchor_runs(read(table), length)
-        ids = table.column("__id").to_numpy()
+def segments(docs: DataFrame, settled: DataFrame, length: int, count: int, ranges: int) -> DataFrame:
+    """v, seg, before, doc_id, th, start: the segments of all runs whose anchor several documents have. settled: documents left out."""
+    t = batches_of(docs.filter("doc_id is not null"), ["text"], count)
+    out_of = settled.select(F.pmod(F.xxhash64("doc_id"), F.lit(count)).alias("__batch"), F.lit(-1).cast("long").alias("range"), F.concat(F.unhex(F.lpad(F.hex("doc_id"), 16, "0")), F.unhex(F.lpad(F.hex("th"), 16, "0"))).alias("hashes"))
+
+    def read(table, right):
+        """Texts and rows of the table, those left out as empty ones; the rows of right that are hashes."""
+        out = {bytes(x) for r, x in zip(right.column("range").to_pylist(), right.column("hashes").to_pylist(), strict=True) if r < 0}
+        ids, ths = table.column("__id").to_numpy(), table.column("__th").to_numpy()
+        keys = np.stack([ids, ths], 1).astype(">i8").tobytes()
+        return [b"" if keys[16 * i : 16 * i + 16] in out else (x or "").encode("utf-8", "surrogatepass") for i, x in enumerate(table.column("text").to_pylist())], ids, ths
+
+    def send(table: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(table):
+            return pa.table({"range": pa.array([], pa.int64()), "batch": pa.array([], pa.int64()), "hashes": pa.array([], pa.binary()), "several": pa.array([], pa.binary())})
+        texts, ids, _ = read(table, right)
+        v, doc, *_ = anchor_runs(texts, length)
         order = np.lexsort((ids[doc], v))
         v, d = v[order], ids[doc][order]
         new = np.concatenate([[True], v[1:] != v[:-1]])[: len(v)]
@@ -201,45 +206,66 @@ def segments(docs: DataFrame, length: int, count: int, ranges: int) -> DataFrame
         return pa.table({"__batch": pa.array([b for b, _ in out], pa.int64()), "range": pa.array([r] * len(out), pa.int64()), "hashes": pa.array([x for _, x in out], pa.binary())})
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"v": [], "seg": [], "doc_id": [], "th": [], "start": []}
-        if len(left) and len(right):
-            texts = read(left)
-            known = np.concatenate([range_bits(r, unpack(h)) for r, h in zip(right.column("range").to_pylist(), right.column("hashes").to_pylist(), strict=True)])
+        out = {"v": [], "seg": [], "before": [], "doc_id": [], "th": [], "start": []}
+        hashes = [(r, h) for r, h in zip(right.column("range").to_pylist(), right.column("hashes").to_pylist(), strict=True) if r >= 0]
+        if len(left) and hashes:
+            texts, ids, ths = read(left, right)
+            known = np.concatenate([range_bits(r, unpack(h)) for r, h in hashes])
             known.sort()
-            v, doc, start, n = anchor_runs(texts, length)
+            v, doc, start, n, before = anchor_runs(texts, length)
             mine = range_bits(range_of(v, ranges), v & LOW)
             hit = known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine
-            v, doc, start, n = v[hit], doc[hit], start[hit], n[hit]
+            v, doc, start, n, before = v[hit], doc[hit], start[hit], n[hit], before[hit]
             out = {
                 "v": v.view(np.int64), "seg": [texts[d][s : s + m + length - 1] for d, s, m in zip(doc.tolist(), start.tolist(), n.tolist(), strict=True)],
-                "doc_id": left.column("__id").to_numpy()[doc], "th": left.column("__th").to_numpy()[doc], "start": start,
+                "before": before, "doc_id": ids[doc], "th": ths[doc], "start": start,
             }
         return pa.table({k: pa.array(x, pa.binary() if k == "seg" else pa.int64()) for k, x in out.items()})
 
     def range_bits(r, low):
         return (np.asarray(r).astype(np.uint64) << np.uint64(40)) | low
 
-    sent = t.groupBy("__batch").applyInArrow(send, "range long, batch long, hashes binary, several binary")
+    sent = t.groupBy("__batch").cogroup(out_of.groupBy("__batch")).applyInArrow(send, "range long, batch long, hashes binary, several binary")
     shared = sent.groupBy("range").applyInArrow(compare, "__batch long, range long, hashes binary")
-    return t.groupBy("__batch").cogroup(shared.groupBy("__batch")).applyInArrow(cut, "v long, seg binary, doc_id long, th long, start long")
+    return t.groupBy("__batch").cogroup(shared.unionByName(out_of).groupBy("__batch")).applyInArrow(cut, "v long, seg binary, before long, doc_id long, th long, start long")
 
 
 def removals(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
     """doc_id, th (hash of the text), first, last: spans to remove; and the number of batches texts are dealt into."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count, ranges = max(1, math.ceil(size / BATCH)), max(1, math.ceil(size * 0.4 / RANGE))
-    found = keep(segments(docs, length, count, ranges), "segments")
+    settled = keep(copies(docs), "copies")
+    found = keep(segments(docs, settled, length, count, ranges), "segments")
     release(docs)
     bins = max(1, math.ceil(found.agg(F.sum(F.length("seg"))).first()[0] or 0) // BIN + 1)
-    distinct = found.groupBy("v", "seg").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+
+    def combine(table: pa.Table) -> pa.Table:
+        t = table.group_by([c for c in table.column_names if c not in ("low", "high")]).aggregate([("low", "min"), ("high", "max")])
+        return t.rename_columns([c.removesuffix("_min").removesuffix("_max") for c in t.column_names])
+
+    def squeeze(batches):
+        """Equal segments of a task become one before they move, however many documents have them."""
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= 300_000:
+                yield from combine(pa.Table.from_batches(held)).select(["bin", "v", "before", "seg", "low", "high"]).to_batches(65_536)
+                held, n = [], 0
+        if held:
+            yield from combine(pa.Table.from_batches(held)).select(["bin", "v", "before", "seg", "low", "high"]).to_batches(65_536)
+
+    d = found.select(F.pmod("v", F.lit(bins)).alias("bin"), "v", "before", "seg", F.col("doc_id").alias("low"), F.col("doc_id").alias("high"))
+    distinct = d.mapInArrow(squeeze, "bin long, v long, before long, seg binary, low long, high long").repartition(bins, "bin").withColumn("sh", F.xxhash64("seg"))
 
     def judge(table: pa.Table) -> pa.Table:
+        table = combine(table)
         segs, low, high = table.column("seg").to_pylist(), table.column("low").to_numpy(), table.column("high").to_numpy()
-        least = earliest(segs, low, length)
+        least = earliest(segs, table.column("before").to_numpy(), low, length)
         use = [i for i, m in enumerate(least) if m.min() < high[i]]
         return pa.table({"v": table.column("v").take(pa.array(use, pa.int64())), "sh": table.column("sh").take(pa.array(use, pa.int64())), "least": pa.array([least[i].tobytes() for i in use], pa.binary())})
 
-    judged = distinct.withColumn("bin", F.pmod("v", F.lit(bins))).withColumn("sh", F.xxhash64("seg")).repartition(bins, "bin").groupBy("bin").applyInArrow(judge, "v long, sh long, least binary")
+    judged = distinct.groupBy("bin").applyInArrow(judge, "v long, sh long, least binary")
 
     def spans(batches):
         for b in batches:
@@ -256,7 +282,10 @@ def removals(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d, h, first, last)], ["doc_id", "th", "first", "last"])
 
     where = found.select("v", F.xxhash64("seg").alias("sh"), "doc_id", "th", "start").join(judged, ["v", "sh"]).select("doc_id", "th", "start", "least")
-    return keep(where.mapInArrow(spans, "doc_id long, th long, first long, last long"), "spans"), count
+    whole = settled.filter(F.col("size") >= length).select("doc_id", "th", F.lit(0).cast("long").alias("first"), F.col("size").alias("last"))
+    out = keep(where.mapInArrow(spans, "doc_id long, th long, first long, last long").unionByName(whole), "spans")
+    drop_kept(found)
+    return out, count
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False) -> DataFrame:
@@ -268,6 +297,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False) -> D
     that share an id take nothing from one another; rows stay as many as they are.
     """
     spans, count = removals(docs, length)
+    release(docs)
     columns = ["text"] if digest else docs.columns
     t = batches_of(docs, columns, count)
     fields = [docs.schema[c] for c in docs.columns]

@@ -16,7 +16,7 @@ from .common import GAP, keep, shuffle_partitions
 
 BITS = 64
 HEAVIEST = 16
-_TWO = F.lit((1 << 32) | 1)
+_TWO = (1 << 32) | 1
 
 
 def with_words(df: DataFrame, col: str, name: str) -> DataFrame:
@@ -32,7 +32,7 @@ def terms(words: str):
 
 def vote_sums(h="h", w="w"):
     """Aggregates b0 to b31 and weight over rows of terms."""
-    return [F.sum(F.col(w) * F.shiftrightunsigned(F.col(h), j).bitwiseAND(_TWO)).alias(f"b{j}") for j in range(32)] + [F.sum(w).alias("weight")]
+    return [F.sum(F.col(w) * F.shiftrightunsigned(F.col(h), j).bitwiseAND(F.lit(_TWO))).alias(f"b{j}") for j in range(32)] + [F.sum(w).alias("weight")]
 
 
 def fingerprint():

@@ -84,6 +84,16 @@ def test_png_round_trip():
         assert (encode.decode_png(encode.png(img)) == img).all()
 
 
+@pytest.mark.parametrize(("bands", "quality", "most"), [(3, 100, 2.0), (3, 75, 8.0), (1, 90, 4.0)])
+def test_jpeg(spark, tmp_path, bands, quality, most):
+    y, x = np.mgrid[0:45, 0:70]
+    img = np.stack([128 + 100 * np.sin(x / 9 + c) * np.cos(y / (7 + c)) for c in range(bands)], 2).astype(np.uint8)
+    (tmp_path / "t.jpg").write_bytes(encode.jpeg(img, quality))
+    got = spark.read.format("image").load(f"{tmp_path}/t.jpg").select("image.*").first()
+    back = np.frombuffer(bytes(got.data), np.uint8).reshape(got.height, got.width, got.nChannels)[:, :, ::-1]
+    assert (got.height, got.width) == (45, 70) and np.abs(back[:, :, :bands].astype(int) - img).mean() < most
+
+
 @pytest.mark.parametrize("epsg", [4326, 3857])
 def test_chunk_size_does_not_matter(spark, tmp_path, epsg):
     world(tmp_path / "w.tif", epsg=epsg)

@@ -317,12 +317,12 @@ def q_chunk_source_overlap(spark, sf_dir):
     return c.join(jobs.with_chunks(jobs.tile_jobs(spark, CONUS, 6, 6), 4).select("cx", "cy").distinct(), ["cx", "cy"]).select("s_suppkey", "cx", "cy")
 
 
-SQL_MERGE = f"""WITH RECURSIVE j AS ({sql_jobs(CONUS, 6, 7)}), t AS (SELECT DISTINCT z, {sql_x('lon', 'z')} AS x, {sql_y('lat', 'z')} AS y FROM (SELECT {sql_points('event_id')} FROM events WHERE event_id % 3 = 0), generate_series(6, 7) g(z)),
+SQL_MERGE = f"""WITH RECURSIVE j AS ({sql_jobs(CONUS, 6, 7)}), t AS (SELECT DISTINCT z, {sql_x('lon', 'z')} AS x, {sql_y('lat', 'z')} AS y FROM (SELECT {sql_points('event_id')} FROM events), generate_series(6, 7) g(z)),
 m AS (SELECT z, x, y, max(j) AS j, max(t) AS t FROM (SELECT z, x, y, 1 AS j, 0 AS t FROM j UNION ALL SELECT z, x, y, 0, 1 FROM t) GROUP BY ALL), {sql_ids('SELECT z, x, y FROM m')}"""
 
 
 def event_tiles(spark, sf_dir):
-    p = points(table(spark, sf_dir, "events").filter("event_id % 3 = 0"), "event_id").select(F.explode(F.sequence(F.lit(6), F.lit(7))).alias("z"), "lon", "lat")
+    p = points(table(spark, sf_dir, "events"), "event_id").select(F.explode(F.sequence(F.lit(6), F.lit(7))).alias("z"), "lon", "lat")
     return p.select(grid.tile_id("z", grid.lon_to_x("lon", "z"), grid.lat_to_y("lat", "z")).alias("tile_id")).distinct()
 
 
@@ -444,8 +444,10 @@ def q_type_names(spark, sf_dir):
 
 def local_path(spark, name: str) -> str:
     """A new file in the shared folder, as executors and the driver see it."""
-    at = shared_dir(spark).removeprefix("file:")
-    at = "/" + at.lstrip("/") if not at.startswith("/") or at.startswith("//") else at
+    at = shared_dir(spark)
+    if "://" in at and not at.startswith("file:"):
+        raise ValueError(f"archives are files; {at} is no file system that Python opens")
+    at = "/" + at.removeprefix("file:").lstrip("/")
     os.makedirs(at, exist_ok=True)
     return f"{at}/{uuid.uuid4().hex}-{name}"
 

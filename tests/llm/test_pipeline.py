@@ -22,7 +22,8 @@ def test_stages(spark):
     a, b = out["quality"]
     bad = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 0").collect()}
     kept = {r.doc_id for r in b.collect()}
-    assert len(bad & kept) <= 0.1 * len(bad) and len(kept) >= 0.9 * (a.count() - len(bad))
+    # Seventy labels to learn from, nine of them bad: accuracy is held to in test_held_out.
+    assert len(bad & kept) < 0.25 * len(bad) and len(kept) >= 0.9 * (a.count() - len(bad))
     a, b = out["near_dedup"]
     c = component_of([(r.doc_id, r.text) for r in a.collect()], 5, 80)
     assert sorted(r.doc_id for r in b.collect()) == sorted(i for i in c if c[i] == i)
@@ -41,6 +42,14 @@ def test_stages(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_held_out(spark):
+    sf = SF.replace("0.001", "0.1")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in queries.op8_quality(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    good, bad = ([r.predicted for r in rows if labels[r.doc_id] == q] for q in (1, 0))
+    assert len(bad) > 50 and sum(good) >= 0.99 * len(good) and sum(bad) <= 0.05 * len(bad)
+
+
 def test_sql(spark):
     import os
 

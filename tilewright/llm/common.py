@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +66,18 @@ def release(df: DataFrame) -> None:
 
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
+
+
+_holder: list = [None, None]
+
+
+def claim(owner: str, forget=lambda: None) -> None:
+    """Called by an operator that runs in a Python worker: what another operator kept there is forgotten and given back to the system,
+    so that a worker which serves several stages holds one such memory at a time."""
+    if _holder[0] not in (None, owner):
+        _holder[1]()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+    _holder[:] = owner, forget

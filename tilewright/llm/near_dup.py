@@ -20,12 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, release
+from .common import claim, keep, release
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 P1, P2 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 #: Words whose hashes a worker keeps; beyond that they are forgotten.
-MEMO = 600_000
+MEMO = 400_000
 
 
 class _Words(dict):
@@ -94,6 +94,7 @@ def sketch(docs: DataFrame, size: int, groups: int, rows: int) -> DataFrame:
         )
 
     def f(batches):
+        claim("near_dup", _words.clear)
         for b in batches:
             texts, i, used = b.column(1).to_pylist(), 0, 0
             for j, t in enumerate(texts, 1):  # few texts at a time where they are long
@@ -109,6 +110,7 @@ def set_table(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     """rep, set binary (sorted 64-bit hashes) of the documents in reps."""
 
     def f(batches):
+        claim("near_dup", _words.clear)
         for b in batches:
             sets = [shingles(t, size).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["rep", "set"])

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import claim, keep
 
 WINDOW, END = 2048, 1
 #: Words whose ids a worker keeps; beyond that they are forgotten.
-MEMO = 800_000
+MEMO = 400_000
 #: Marks that are split off from letters before them.
 MARKS = ".,;:!?#$%&*|"
 #: Rows that share a tail length and a bucket, about; only these are ever ranked by one task.
@@ -84,7 +84,11 @@ class WordIds:
                 self[word] = out
                 return out
 
-        self.words = Words()
+        self.words, self.cores = Words(), cores
+
+    def forget(self) -> None:
+        self.words.clear()
+        self.cores.clear()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
@@ -111,6 +115,7 @@ def tokenized(docs: DataFrame, vocabulary: str, window: int, end: int) -> DataFr
 
     def f(batches):
         encode, last = word_ids(vocabulary), np.array([end], "<u2").tobytes()
+        claim("packing", encode.forget)
 
         def part(ids, texts):
             every = [x + last for x in encode(texts)]

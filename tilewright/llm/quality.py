@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import claim
+
 NAMES = ["chars", "words", "word_len", "upper", "digit", "odd_symbols", "bang", "pipe", "other_ascii", "beyond_ascii", "space", "lines", "line_len", "repeated_lines", "distinct_words", "long_words", "stops", "caps_words", "odd_ends", "longest_word"]
 LETTERS = np.zeros(256, int)
 #: Which of the byte classes below a byte falls in.
@@ -163,6 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     chosen = known.orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
 
     def f(batches):
+        claim("quality")
         for b in batches:
             x = matrix(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
@@ -178,6 +181,7 @@ def score(docs: DataFrame, model: Model, cols: list[str] = ("doc_id",)) -> DataF
     schema = ", ".join(f"`{c}` {inputs.schema[c].dataType.simpleString()}" for c in cols) + ", score double"
 
     def f(batches):
+        claim("quality")
         for b in batches:
             s = model.score(matrix(b.column(b.num_columns - 1).to_pylist()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], [*b.schema.names[:-1], "score"])
@@ -190,6 +194,7 @@ def select_good(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
     text = docs.columns.index("text")
 
     def f(batches):
+        claim("quality")
         for b in batches:
             yield b.filter(pa.array(model.score(matrix(b.column(text).to_pylist())) >= threshold))
 

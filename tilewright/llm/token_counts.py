@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from .common import utf8_bytes
+from .common import claim, utf8_bytes
 
 CHUNK = 1 << 16
 SPACE = "▁"
@@ -148,6 +148,7 @@ def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: st
 
     def f(batches):
         t = transducer(model)
+        claim("token_counts", t.memo.clear)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([t.count(x) for x in b.column(1).to_pylist()], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

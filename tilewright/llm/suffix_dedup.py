@@ -21,14 +21,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_kept, keep, release
+from .common import claim, drop_kept, keep, release
 
 K = 20
 #: Bytes of text in a batch, of anchor hashes in a range, of segments in a bin, about.
 BATCH, RANGE, BIN = 3 << 20, 24 << 20, 8 << 20
+#: Bytes of texts hashed at a time.
+PART = 1 << 19
 #: Low bits of a sliding minimum that hold the place; a batch of texts, or one text, may have so many bytes.
 PLACE = np.uint64((1 << 30) - 1)
 LOW = np.uint64((1 << 40) - 1)
@@ -51,7 +54,19 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchor_runs(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """Runs of neighbouring strings with one anchor: its hash, the text's number, start, number of strings, bytes before the anchor."""
+    """Runs of neighbouring strings with one anchor: its hash, the text's number, start, number of strings, bytes before the anchor.
+    Some texts at a time, as the arrays are many times their size."""
+    out, first, used = [], 0, 0
+    for i, t in enumerate(texts, 1):
+        used += len(t)
+        if used >= PART or i == len(texts):
+            v, doc, *rest = _runs_of(texts[first:i], length)
+            out.append((v, doc + first, *rest))
+            first, used = i, 0
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else _runs_of([], length)
+
+
+def _runs_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     sizes = np.array([len(t) for t in texts], np.int64)
     raw = np.frombuffer(b"".join(texts), np.uint8)
     none = np.zeros(0, np.int64)
@@ -177,6 +192,7 @@ def segments(docs: DataFrame, settled: DataFrame, length: int, count: int, range
         return [b"" if keys[16 * i : 16 * i + 16] in out else (x or "").encode("utf-8", "surrogatepass") for i, x in enumerate(table.column("text").to_pylist())], ids, ths
 
     def send(table: pa.Table, right: pa.Table) -> pa.Table:
+        claim("suffix_dedup")
         if not len(table):
             return pa.table({"range": pa.array([], pa.int64()), "batch": pa.array([], pa.int64()), "hashes": pa.array([], pa.binary()), "several": pa.array([], pa.binary())})
         texts, ids, _ = read(table, right)
@@ -207,6 +223,7 @@ def segments(docs: DataFrame, settled: DataFrame, length: int, count: int, range
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"v": [], "seg": [], "before": [], "doc_id": [], "th": [], "start": []}
+        claim("suffix_dedup")
         hashes = [(r, h) for r, h in zip(right.column("range").to_pylist(), right.column("hashes").to_pylist(), strict=True) if r >= 0]
         if len(left) and hashes:
             texts, ids, ths = read(left, right)
@@ -226,7 +243,7 @@ def segments(docs: DataFrame, settled: DataFrame, length: int, count: int, range
         return (np.asarray(r).astype(np.uint64) << np.uint64(40)) | low
 
     sent = t.groupBy("__batch").cogroup(out_of.groupBy("__batch")).applyInArrow(send, "range long, batch long, hashes binary, several binary")
-    shared = sent.groupBy("range").applyInArrow(compare, "__batch long, range long, hashes binary")
+    shared = sent.repartition(ranges, "range").groupBy("range").applyInArrow(compare, "__batch long, range long, hashes binary")
     return t.groupBy("__batch").cogroup(shared.unionByName(out_of).groupBy("__batch")).applyInArrow(cut, "v long, seg binary, before long, doc_id long, th long, start long")
 
 
@@ -268,18 +285,20 @@ def removals(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
     judged = distinct.groupBy("bin").applyInArrow(judge, "v long, sh long, least binary")
 
     def spans(batches):
+        """Strings of one segment lie closer together than their length: what goes runs from the first of them to the last one's end."""
         for b in batches:
-            d, h, s, first, last = [], [], [], [], []
-            for doc, th, start, least in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                at = np.flatnonzero(np.frombuffer(least, np.int64) < doc)
-                if len(at):
-                    gap = np.flatnonzero(np.diff(at) > length)
-                    a, z = at[np.concatenate([[0], gap + 1])], at[np.concatenate([gap, [len(at) - 1]])]
-                    d += [doc] * len(a)
-                    h += [th] * len(a)
-                    first += (start + a).tolist()
-                    last += (start + z + length).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d, h, first, last)], ["doc_id", "th", "first", "last"])
+            if not b.num_rows:
+                continue
+            doc, start, raw = b.column(0).to_numpy(), b.column(2).to_numpy(), b.column(3)
+            n = pc.binary_length(raw).to_numpy().astype(np.int64) // 8
+            begin = np.cumsum(n) - n
+            row = np.repeat(np.arange(len(n)), n)
+            at = np.flatnonzero(np.frombuffer(b"".join(raw.to_pylist()), np.int64) < doc[row])
+            hit, row = at - begin[row[at]], row[at]
+            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])[: len(row)])
+            last = np.concatenate([first[1:] - 1, [len(row) - 1]]) if len(row) else first
+            rows = row[first]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(start[rows] + hit[first]), pa.array(start[rows] + hit[last] + length)], ["doc_id", "th", "first", "last"])
 
     where = found.select("v", F.xxhash64("seg").alias("sh"), "doc_id", "th", "start").join(judged, ["v", "sh"]).select("doc_id", "th", "start", "least")
     whole = settled.filter(F.col("size") >= length).select("doc_id", "th", F.lit(0).cast("long").alias("first"), F.col("size").alias("last"))

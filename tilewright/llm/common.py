@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -61,11 +63,11 @@ def utf8_bytes(text):
 
 
 def release(df: DataFrame) -> None:
-    """Have Spark delete the shuffle files of what is finished: it does so when the driver collects its garbage."""
-    import gc
-
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """Have Spark delete the shuffle files of what is finished: it does so, a little later, when the driver collects its garbage."""
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(1.0)
 
 
 _holder: list = [None, None]

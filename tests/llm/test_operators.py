@@ -256,6 +256,29 @@ def test_nearest(spark, monkeypatch):
     assert len(few) == 3 * 4
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.05])
+def test_nearest_third_of_the_rows_alike(spark, monkeypatch, spread):
+    r = np.random.default_rng(1)
+    x = r.normal(size=(1500, 16))
+    x[r.permutation(1500)[:500]] = r.normal(size=16) + spread * r.normal(size=(500, 16))
+    x = x.astype(np.float32).astype(float)
+    monkeypatch.setattr(nearest, "CANDIDATES", 800)
+    got = collections.defaultdict(dict)
+    for a in nearest.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), 20, 20, rerank=32).collect():
+        got[a.query_id][a.rank] = a.vec_id
+    for i in range(0, 1500, 20):
+        s = np.einsum("nd,d->n", x, x[i])
+        s[i] = -np.inf
+        assert [got[i][n] for n in range(1, 21)] == np.lexsort((np.arange(1500), -s))[:20].tolist()
+
+
+def test_nearest_first_of_equal():
+    ids, x = np.array([1, 1, 1, 2, 3, 4, 5, 6]), np.ones((8, 4))
+    assert nearest.first_of_equal(ids, x, 2).tolist() == [0, 1, 3, 4]
+    x[4] = 2
+    assert nearest.first_of_equal(ids, x, 2).tolist() == [0, 1, 3, 4, 5]
+
+
 def test_warc(spark):
     big = "é" * 40_000
     data = [(1, "http://a/\r\nX: y", big), (2, None, big), (0, "u", big), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "w", "z" * 100), (7, "w", "z" * 100)]

@@ -2,7 +2,8 @@
 
 Vectors are cut into short subspaces of 16 centres each. Codes and centres minimise a loss that weighs the residual's part parallel to the vector more
 than the rest, as that part is what inner products with near queries lose. Four-bit codes, two in a byte, are scanned with
-one table look-up a byte; what scores best is ranked anew by exact inner products on the original vectors.
+one table look-up a byte; what scores best is ranked anew by exact inner products on the original vectors, and so is every row whose
+code leaves open, by a proven bound on its error, that it belongs among the best. Nothing is lost to the codes.
 """
 
 from __future__ import annotations
@@ -83,6 +84,27 @@ class Quantiser:
             out[i : i + 4096] = c[:, ::2] << 4 | c[:, 1::2]
         return out
 
+    def slack(self, x: np.ndarray, raw: np.ndarray) -> np.ndarray:
+        """(4, n) for vectors x and their bytes: a, 1 / |y|^2, |x - a y| and |x|, where y is what the code stands for and a y the part of x along it."""
+        out = np.empty((4, len(x)))
+        for i in range(0, len(x), 4096):
+            v, c = x[i : i + 4096], np.stack([raw[i : i + 4096] >> 4, raw[i : i + 4096] & 15], 2).reshape(-1, self.parts)
+            y = self.centres[np.arange(self.parts), c].reshape(len(v), -1)[:, : self.dim]
+            y2 = (y * y).sum(1)
+            inverse = np.divide(1.0, y2, out=np.zeros(len(v)), where=y2 > 0)
+            a = (v * y).sum(1) * inverse
+            out[:, i : i + 4096] = a, inverse, np.linalg.norm(v - a[:, None] * y, axis=1), np.linalg.norm(v, axis=1)
+        return out
+
+    def at_most(self, near: np.ndarray, table: np.ndarray, q: np.ndarray, slack: np.ndarray) -> np.ndarray:
+        """What the inner products of q can be at most, given the scan's scores: <q, x> = a <q, y> + <q', x - a y>, q' the part of q across y,
+        and the last term is at most |q'| |x - a y|. Allows for the rounding of the scan and of this sum; not-a-number where numbers are too large."""
+        a, inverse, rest, norm = slack
+        n, length = near.astype(np.float64), np.linalg.norm(q)
+        off = self.parts * (np.abs(table).max(1).sum(dtype=np.float64) * 2.0**-23 + 2.0**-149)
+        across = np.sqrt(np.maximum(0.0, length**2 - np.maximum(0.0, np.abs(n) - off) ** 2 * inverse))
+        return a * n + np.abs(a) * off + rest * across + 1e-7 * length * norm
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(queries, parts / 2, 256): what each byte adds to the score."""
         t = np.einsum("npw,pcw->npc", self.split(q), self.centres)
@@ -104,12 +126,28 @@ def flat(column) -> np.ndarray:
     return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
 
 
+def first_of_equal(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the rows, sorted by id, that can be among the k nearest of any query: of equal vectors the first k rows of an id
+    and the first 2 k in all, as a query leaves out one id. The others come after k rows of their own score."""
+    held: dict[bytes, list] = {}
+    out = []
+    for i, (d, v) in enumerate(zip(ids.tolist(), x, strict=True)):
+        g = held.setdefault(v.tobytes(), [0, None, 0])  # rows taken, the last id, rows taken of it
+        if g[1] != d:
+            g[1:] = d, 0
+        if g[0] < 2 * k and g[2] < k:
+            g[0], g[2] = g[0] + 1, g[2] + 1
+            out.append(i)
+    return np.array(out, np.int64)
+
+
 def search(vectors: DataFrame, every: int, k: int = 20, rerank: int = 256, sample: int = 12_000) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row whose vec_id is divisible by `every`, among all rows but those with its id.
 
     The quantiser is fitted on at most `sample` vectors, those of the smallest id hash; every row is indexed and scanned. In each block of
-    CANDIDATES rows `rerank` of the best by the scan are scored exactly, so what is looked at grows with the table. Queries and
-    candidates meet block by block; only the best k of each block are shuffled. Tables without usable vectors give no rows.
+    CANDIDATES rows `rerank` of the best by the scan are scored exactly, then all others that can reach the k-th score found by the bound on
+    their code's error; so the k are the true ones, ties to smaller ids, whatever the table holds. Equal vectors of a block are scanned
+    as far as they can be among the k. Queries and candidates meet block by block; only the best k of each block are shuffled. Tables without usable vectors give no rows.
     """
     v = keep(usable(vectors), "vectors")
     drawn = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"]
@@ -135,8 +173,10 @@ def search(vectors: DataFrame, every: int, k: int = 20, rerank: int = 256, sampl
         if len(cands) and len(queries):
             ids, x, qs, query_ids = cands.column("vec_id").to_numpy(), flat(cands.column("v")), flat(queries.column("v")), queries.column("vec_id").to_numpy()
             order = np.argsort(ids, kind="stable")
+            order = order[first_of_equal(ids[order], x[order], k)]
             ids, x = ids[order], x[order]
-            codes = np.frombuffer(b"".join(cands.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[order].T.astype(np.intp)
+            raw = np.frombuffer(b"".join(cands.column("codes").to_pylist()), np.uint8).reshape(len(cands), -1)[order]
+            codes, slack = raw.T.astype(np.intp), q.slack(x, raw)
             out = [[], [], []]
             for i in range(0, len(qs), 64):
                 tables = q.tables(qs[i : i + 64])
@@ -144,11 +184,18 @@ def search(vectors: DataFrame, every: int, k: int = 20, rerank: int = 256, sampl
                     near = t[0].take(codes[0])
                     for p in range(1, len(codes)):
                         near += t[p].take(codes[p])
-                    near[ids == query_ids[i + j]] = -np.inf
-                    top = np.sort(np.argpartition(-near, rerank)[:rerank]) if len(near) > rerank else np.arange(len(near))
-                    top = top[near[top] > -np.inf]
+                    open_ = ids != query_ids[i + j]
+                    most = q.at_most(near, t, qs[i + j], slack)
+                    near[~open_] = -np.inf
+                    top = np.argpartition(-near, rerank)[:rerank] if len(near) > rerank else np.arange(len(near))
+                    top = top[open_[top]]
                     exact = np.einsum("nd,d->n", x[top], qs[i + j])
-                    best = np.argsort(-exact, kind="stable")[:k]
+                    least = np.partition(exact, -k)[-k] if len(exact) >= k else -np.inf
+                    open_[top] = False
+                    more = np.flatnonzero(open_ & ~(most < least))
+                    top, exact = np.concatenate([top, more]), np.concatenate([exact, np.einsum("nd,d->n", x[more], qs[i + j])])
+                    top, exact = top[exact >= least], exact[exact >= least]
+                    best = np.lexsort((top, -exact))[:k]
                     out[0].append(np.full(len(best), query_ids[i + j]))
                     out[1].append(ids[top[best]])
                     out[2].append(exact[best])

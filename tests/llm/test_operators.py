@@ -321,6 +321,20 @@ def test_links_spread_trust(spark):
     assert got["farm.xyz"].blocked and got["bad0.com"].blocked and not got["fine.xyz"].blocked and got["fine.xyz"].trust > 0
 
 
+def test_links_do_not_dilute_distrust(spark):
+    links = [("x", "a"), ("a", "bad.com")]  # a chain
+    links += [(f"c{i + 1}", f"c{i}") for i in range(17)] + [("c0", "deep.com")]  # a long one
+    links += [("u", "loop.com"), ("v", "u"), ("u", "v")]  # a cycle
+    links += [(f"one{i}", "many.com") for i in range(20)] + [("single", "few.com")]  # linkers
+    links += [("good.example.com", "fine"), ("fine", "next"), ("next", "fine"), ("fine", "few.com")]
+    seeds = ["bad.com", "deep.com", "loop.com", "many.com", "few.com", "alone.com"]
+    data = [(f"http://{a}/p", f"<a href='http://{b}/'>") for a, b in links] + [("http://good.example.com/en/7", None)] + [(f"http://{h}/en/{i}", None) for h in seeds for i in range(2)] + [(f"http://{h}/free", None) for h in seeds]
+    pages = spark.createDataFrame([(i, *d) for i, d in enumerate(data)], "page_id long, url string, html string")
+    blocked = {r.host for r in url_filter.host_scores(pages).collect() if r.blocked}
+    assert blocked == {*seeds, *(a for a, _ in links)} - {"good.example.com", "fine", "next"}
+    assert {r.verdict for r in url_filter.judge(pages).collect() if r.path == "/free"} == {"block"}
+
+
 def test_quality(spark):
     r = random.Random(3)
     good = lambda: words(r, r.randrange(5, 80))

@@ -7,6 +7,7 @@ classifier and the packing, so there is no ORACLE_SQL; tests hold the stages aga
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tilewright.llm import mixing, near_dup, packing, quality, suffix_dedup
 from tilewright.llm.common import keep, table
@@ -20,15 +21,31 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.select_good(docs, quality.train(docs, table(spark, sf_dir, "labels")), REJECT)
 
 
+def by_row(docs: DataFrame) -> DataFrame:
+    """docs with their ids in __own_id and in doc_id a number of each row's own, in the order of ids, null ids last.
+
+    Where ids name rows already they are the numbers; else the rows are sorted, those of one id by their content.
+    """
+    if docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
+        return docs.withColumn("__own_id", F.col("doc_id"))
+    order = [F.asc_nulls_last("doc_id"), F.xxhash64("text"), *docs.columns]
+    return keep(docs.orderBy(*order).withColumn("__own_id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id()), "rows")
+
+
+def with_own_ids(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.withColumn("doc_id", F.col("__own_id")).select(*columns)
+
+
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity 0.8) the document with the smallest id."""
-    gone = near_dup.near_duplicates(docs, size=5, percent=80).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies (five words, similarity 0.8) the row with the smallest id. Rows that share an id or have none are judged each by its own text."""
+    rows = by_row(docs)
+    gone = near_dup.near_duplicates(rows, size=5, percent=80).filter("not kept").select("doc_id")
+    return with_own_ids(rows.join(gone, "doc_id", "left_anti"), docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 50 bytes that an earlier document has."""
-    return suffix_dedup.remove_repeats(docs, length=50)
+    """Texts without the strings of 50 bytes that an earlier document has; each row is a document."""
+    return with_own_ids(suffix_dedup.remove_repeats(by_row(docs), length=50), docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pipeline on a real table, each stage held against brute force on its own input."""
 
 import collections
+import random
 
 import corpus_pipeline
 from tests.llm.test_operators import component_of, removed
@@ -42,6 +43,19 @@ def test_stages(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_rows_that_share_ids(spark):
+    r = random.Random(2)
+    a, b, c, d, e = (" ".join(f"w{r.randrange(10**6)}" for _ in range(200)) for _ in range(5))
+    data = [(1, a), (2, a + " more"), (2, b), (3, c), (3, c), (4, None), (None, b + " more"), (None, d), (None, d), (None, None), (5, e)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.one_of_near_copies(spark, docs, SF)
+    count = lambda rows: collections.Counter(map(tuple, rows))
+    assert got.columns == docs.columns and count(got.collect()) == count([(1, a), (2, b), (3, c), (4, None), (None, d), (None, None), (5, e)])
+    docs = spark.createDataFrame([(1, a), (1, b), (None, b + c), (2, c), (2, c), (None, None)], "doc_id long, text string")
+    got = corpus_pipeline.without_repeats(spark, docs, SF)
+    assert got.columns == docs.columns and count(got.collect()) == count([(1, a), (1, b), (None, ""), (2, c), (2, ""), (None, None)])
+
+
 def test_held_out(spark):
     sf = SF.replace("0.001", "0.1")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

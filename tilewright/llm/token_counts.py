@@ -1,12 +1,14 @@
-"""Token counts by a compiled finite-state transducer over a subword model.
+"""Token counts by the model's own library, called once per different word and remembered.
 
-A sentencepiece BPE model never joins two neighbouring characters that stand side by side in no piece. So the
-model compiles to a deterministic transducer whose state is the run of characters still open: reading the next
-character either extends the run or, on such a pair, closes it and emits the number of tokens the run has. Closed
-runs are the same few strings again and again; what a run emits is determined once, on first use, by the model's own
-library, and kept as that transition's annotation.
+A sentencepiece BPE model never joins two neighbouring characters that stand side by side in no piece. Where no piece
+has a space after another character (`by_words`), texts are cut before such spaces only and the tokens of the runs add up. Runs are the
+same few strings again and again; what a run has is determined on first use and kept in a bounded memory.
 
-A chunk of text is a map from the state before it to (state after, tokens emitted): the piece up to its first
+No transducer is compiled: there are no states per character and no tokens emitted on transitions. Merges can depend on all of a run,
+so states would have to tell open runs apart; a memory of whole runs gives the library's own counts without that. Texts of up to
+CHUNK characters without double spaces are split at spaces and summed; models that are not `by_words` get whole texts.
+
+In longer texts and those with double spaces, a chunk of text is a map from the state before it to (state after, tokens emitted): the piece up to its first
 boundary depends on the state that comes in, the middle does not, the open rest is the state that goes out. Such maps
 compose associatively, and `scan` folds them as a parallel prefix tree, so that a long text is counted in chunks.
 """

@@ -84,6 +84,12 @@ def test_near_duplicates_block_search():
     assert (near_dup.intersections(u, v, 64) == [[len(set(a) & set(b)) for b in v] for a in u]).all()
 
 
+def test_near_duplicates_stated_misses():
+    for s in (0.85, 0.8):
+        miss = 1 - (1 - (1 - s**3) ** 12) ** 2
+        assert f"{miss:.1e}".replace("e-0", "e-") + f" at {s}" in near_dup.__doc__
+
+
 def test_near_duplicates_edges(with_null_id, empty):
     got = [r for r in near_dup.near_duplicates(with_null_id).collect() if r.doc_id is None]
     assert got[0].component_id is None and got[0].kept

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import keep
 
 #: Rows of a block of candidates and of queries; a task holds one of each.
-CANDIDATES, QUERIES = 16_384, 2_048
+CANDIDATES, QUERIES = 16_384, 16_384
 CENTRES = 16
 
 
@@ -112,8 +112,8 @@ class Quantiser:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (array<double>): rows with an id and a vector of the table's most common length, without nulls, not-a-numbers and infinities, and not all zero."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter("vec_id is not null and v is not null")
+    """vec_id, v (an array as in the input): rows with an id and a vector of the table's most common length, without nulls, not-a-numbers and infinities, and not all zero."""
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).filter("vec_id is not null and v is not null")
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     v = v.filter(F.coalesce(good, F.lit(False)))
     dim = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -126,82 +126,112 @@ def flat(column) -> np.ndarray:
     return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
 
 
-def first_of_equal(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the rows, sorted by id, that can be among the k nearest of any query: of equal vectors the first k rows of an id
-    and the first 2 k in all, as a query leaves out one id. The others come after k rows of their own score."""
-    held: dict[bytes, list] = {}
+def first_of_equal(x: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the rows, sorted by id, that can be among the k nearest of any query: of equal vectors the first k + 1, as a query
+    leaves out one row, its own. The others come after k rows of their own score."""
+    held: dict[bytes, int] = {}
     out = []
-    for i, (d, v) in enumerate(zip(ids.tolist(), x, strict=True)):
-        g = held.setdefault(v.tobytes(), [0, None, 0])  # rows taken, the last id, rows taken of it
-        if g[1] != d:
-            g[1:] = d, 0
-        if g[0] < 2 * k and g[2] < k:
-            g[0], g[2] = g[0] + 1, g[2] + 1
+    for i, v in enumerate(x):
+        n = held[b] = held.get(b := v.tobytes(), 0) + 1
+        if n <= k + 1:
             out.append(i)
     return np.array(out, np.int64)
 
 
+def in_order(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows with q, summed from the first component to the last, so that a score does not depend on which rows are scored together."""
+    return np.cumsum(x * q, 1)[:, -1] if len(x) else np.zeros(0)
+
+
 def search(vectors: DataFrame, every: int, k: int = 20, rerank: int = 256, sample: int = 12_000) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of each row whose vec_id is divisible by `every`, among all rows but those with its id.
+    """query_id, rank, vec_id, score, query_row: the k nearest of each row whose vec_id is divisible by `every`, among all rows but itself.
+
+    Rows that share an id are queries and candidates each for itself; query_row (any number, a row's own) tells them apart. Ties go to smaller ids. Tables without
+    usable vectors give no rows; null ids take no part; other columns are left out whatever their names.
 
     The quantiser is fitted on at most `sample` vectors, those of the smallest id hash; every row is indexed and scanned. In each block of
     CANDIDATES rows `rerank` of the best by the scan are scored exactly, then all others that can reach the k-th score found by the bound on
-    their code's error; so the k are the true ones, ties to smaller ids, whatever the table holds. Equal vectors of a block are scanned
-    as far as they can be among the k. Queries and candidates meet block by block; only the best k of each block are shuffled. Tables without usable vectors give no rows.
+    their code's error; so the k are the true ones, whatever the table holds. Equal vectors of a block are scanned
+    as far as they can be among the k. Queries and candidates meet block by block, in their own precision with the codes; only the best k of each block are shuffled on.
     """
-    v = keep(usable(vectors), "vectors")
-    drawn = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"]
+    v = keep(usable(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    kind = np.dtype("<f4" if v.schema["v"].dataType.elementType.simpleString() == "float" else "<f8")
+    drawn = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select(F.col("v").cast("array<double>").alias("v")).toPandas()["v"]
     if not len(drawn):
-        return v.selectExpr("vec_id as query_id", "1 as rank", "vec_id", "0D as score")
+        return v.selectExpr("vec_id as query_id", "1 as rank", "vec_id", "0D as score", "row as query_row")
     q = Quantiser(np.stack(drawn.to_list()))
     n, n_queries = v.agg(F.count("*"), F.count_if(F.pmod("vec_id", F.lit(every)) == 0)).first()
     c_blocks, q_blocks = math.ceil(n / CANDIDATES), max(1, math.ceil(n_queries / QUERIES))
 
     def index(batches):
         for b in batches:
-            codes = q.bytes_of(flat(b.column(1))) if b.num_rows else np.zeros((0, 1), np.uint8)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "v", "codes"])
+            if b.num_rows:
+                x = flat(b.column(2))
+                codes = q.bytes_of(x.astype(np.float64))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary())], ["row", "vec_id", "v", "codes"])
+
+    def matrix(t: pa.Table) -> np.ndarray:
+        return np.frombuffer(b"".join(t.column("v").to_pylist()), kind).reshape(len(t), -1).astype(np.float64)
 
-    h = F.xxhash64("vec_id")
-    indexed = v.mapInArrow(index, "vec_id long, v array<double>, codes binary")
+    h = F.xxhash64("row")
+    vector = v.select("row", "vec_id", "v" if kind.itemsize == 4 else F.col("v").cast("array<double>").alias("v"))
+    indexed = vector.mapInArrow(index, "row long, vec_id long, v binary, codes binary")
     blocks = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = indexed.withColumn("c", F.pmod(h, F.lit(c_blocks)).cast("int")).withColumn("q", blocks(q_blocks))
-    right = v.filter(F.pmod("vec_id", F.lit(every)) == 0).withColumn("q", F.pmod(h, F.lit(q_blocks)).cast("int")).withColumn("c", blocks(c_blocks))
+    right = indexed.drop("codes").filter(F.pmod("vec_id", F.lit(every)) == 0).withColumn("q", F.pmod(h, F.lit(q_blocks)).cast("int")).withColumn("c", blocks(c_blocks))
 
     def scan(cands: pa.Table, queries: pa.Table) -> pa.Table:
-        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if len(cands) and len(queries):
-            ids, x, qs, query_ids = cands.column("vec_id").to_numpy(), flat(cands.column("v")), flat(queries.column("v")), queries.column("vec_id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            order = order[first_of_equal(ids[order], x[order], k)]
-            ids, x = ids[order], x[order]
+            ids, rows, x = cands.column("vec_id").to_numpy(), cands.column("row").to_numpy(), matrix(cands)
+            qs, query_ids, query_rows = matrix(queries), queries.column("vec_id").to_numpy(), queries.column("row").to_numpy()
+            order = np.lexsort((rows, ids))
+            order = order[first_of_equal(x[order], k)]
+            ids, rows, x = ids[order], rows[order], x[order]
             raw = np.frombuffer(b"".join(cands.column("codes").to_pylist()), np.uint8).reshape(len(cands), -1)[order]
             codes, slack = raw.T.astype(np.intp), q.slack(x, raw)
-            out = [[], [], []]
+            longest = np.sqrt((x * x).sum(1)).max()
+            out = [[], [], [], []]
             for i in range(0, len(qs), 64):
                 tables = q.tables(qs[i : i + 64])
                 for j, t in enumerate(tables):
+                    query = qs[i + j]
                     near = t[0].take(codes[0])
                     for p in range(1, len(codes)):
                         near += t[p].take(codes[p])
-                    open_ = ids != query_ids[i + j]
-                    most = q.at_most(near, t, qs[i + j], slack)
+                    open_ = rows != query_rows[i + j]
+                    most = q.at_most(near, t, query, slack)
                     near[~open_] = -np.inf
                     top = np.argpartition(-near, rerank)[:rerank] if len(near) > rerank else np.arange(len(near))
                     top = top[open_[top]]
-                    exact = np.einsum("nd,d->n", x[top], qs[i + j])
-                    least = np.partition(exact, -k)[-k] if len(exact) >= k else -np.inf
+                    exact = x[top] @ query
+                    # Rounding of sums: those in another order differ by less.
+                    least = np.partition(exact, -k)[-k] - 1e-12 * longest * np.linalg.norm(query) if len(exact) >= k else -np.inf
                     open_[top] = False
                     more = np.flatnonzero(open_ & ~(most < least))
-                    top, exact = np.concatenate([top, more]), np.concatenate([exact, np.einsum("nd,d->n", x[more], qs[i + j])])
-                    top, exact = top[exact >= least], exact[exact >= least]
+                    top, exact = np.concatenate([top, more]), np.concatenate([exact, x[more] @ query])
+                    if len(exact) > k:
+                        least = np.partition(exact, -k)[-k] - 1e-12 * longest * np.linalg.norm(query)
+                        top = top[~(exact < least)]
+                    exact = in_order(x[top], query)
                     best = np.lexsort((top, -exact))[:k]
-                    out[0].append(np.full(len(best), query_ids[i + j]))
-                    out[1].append(ids[top[best]])
-                    out[2].append(exact[best])
+                    out[0].append(np.full(len(best), query_rows[i + j]))
+                    out[1].append(np.full(len(best), query_ids[i + j]))
+                    out[2].append(ids[top[best]])
+                    out[3].append(exact[best])
             out = [np.concatenate(o) for o in out]
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+        return pa.table({"query_row": pa.array(out[0], pa.int64()), "query_id": pa.array(out[1], pa.int64()), "vec_id": pa.array(out[2], pa.int64()), "score": pa.array(out[3], pa.float64())})
 
-    found = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInArrow(scan, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInArrow(scan, "query_row long, query_id long, vec_id long, score double")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query_row")
+
+
+#: The same for `embeddings` with every = 20 and k = 20 by all inner products, for DuckDB.
+SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER () AS n FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, q.n, c.vec_id, list_inner_product(q.v, c.v) AS score FROM v q JOIN v c ON q.n <> c.n AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import fingerprints, mixing, near_dup, nearest, packing, quality, suffix_dedup, token_counts, url_filter, warc
-from .common import keep, table
+from .common import keep, new_folder, table
 
 
 def op1_mix_sources(spark, sf_dir):
@@ -27,8 +27,9 @@ def op4_token_counts(spark, sf_dir, limit: int = 4096):
 
 
 def op5_warc(spark, sf_dir):
-    archives = keep(warc.write_records(warc.judged(table(spark, sf_dir, "pages"))), "warc")
-    c = warc.assemble(warc.read_records(archives, payloads=False))
+    folder = new_folder(spark, "warc")
+    manifest = keep(warc.write_archives(warc.judged(table(spark, sf_dir, "pages")), folder), "manifest")
+    c = warc.assemble(warc.read_records(warc.open_archives(manifest, folder), payloads=False))
     return c.select("page_id", "response.payload_bytes", "response.payload_digest", "response.record_type", F.col("response.refers_to_page").alias("refers_to"))
 
 
@@ -56,7 +57,7 @@ def op8_quality(spark, sf_dir, threshold: float = 0.3):
 
 
 def op9_nearest(spark, sf_dir):
-    return nearest.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+    return nearest.search(table(spark, sf_dir, "embeddings"), every=20, k=20).drop("query_row")
 
 
 def op10_fingerprints(spark, sf_dir):
@@ -69,4 +70,4 @@ def op10_fingerprints(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_dup, op3_suffix_dedup, op4_token_counts, op5_warc, op6_packing, op7_url_filter, op8_quality, op9_nearest, op10_fingerprints)}
-SQL = {"op1_mix_sources": mixing.SQL, "op5_warc": OP5_SQL}
+SQL = {"op1_mix_sources": mixing.SQL, "op5_warc": OP5_SQL, "op9_nearest": nearest.SQL}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import keep, words_count
 
 #: Documents of a source that share one bucket of keys, about; only a bucket is ever sorted by one task.
-BUCKET = 20_000
+BUCKET = 10_000
 #: Sources up to which the table of targets is broadcast; beyond it Spark joins by shuffle and splits hot sources.
 FEW = 20_000
 
@@ -51,7 +51,7 @@ def unit(doc_id):
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, weights=(5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
-    """docs: doc_id, source, text. quality: doc_id, weight (positive; missing or null: 1; several: the largest).
+    """docs: doc_id, source, text. quality: doc_id, weight (positive and finite; else as if missing: 1; several: the largest).
 
     Returns a row per input row: doc_id, source, size, source_size, target, copies, taken = copies * size. A source's
     taken words differ from its target by half of one document's size at most. Null texts have size 0, null sources are a source,
@@ -61,16 +61,18 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights=(5, 2, 1), sh
     if quality is None:
         d = d.withColumn("weight", F.lit(1.0))
     else:
-        q = quality.filter("doc_id is not null and weight > 0").groupBy("doc_id").agg(F.max("weight").cast("double").alias("weight"))
+        q = quality.filter("doc_id is not null and weight > 0 and weight < double('infinity')").groupBy("doc_id").agg(F.max("weight").cast("double").alias("weight"))
         d = d.join(q, "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     d = keep(d.withColumn("key", -F.log(unit(F.col("doc_id"))) / F.col("weight")), "sized")
     sizes = keep(d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "sources")
     count, largest = sizes.agg(F.count("*"), F.max("n")).first()
-    buckets = max(1, math.ceil((largest or 0) / BUCKET))
+    # Buckets of equal width on the keys' logarithm, `fine` to a doubling: so narrow that none holds much more than BUCKET of a source's
+    # documents, whatever weights their keys were scaled by.
+    fine = max(1, math.ceil((largest or 0) / BUCKET))
     t = targets(sizes.select("source", "source_size"), weights, share, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     t = t.withColumn("epochs", epochs).withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "s")
-    bucket = F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int")
+    bucket = F.floor(F.log2("key") * fine)
     d = d.join(F.broadcast(t) if count <= FEW else t, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", bucket)
     # Running sums in two levels: of whole buckets, a few rows a source, and within each bucket.
     before = d.groupBy("source_rank", "bucket").agg(F.sum("size").alias("sum")).select("source_rank", "bucket", F.coalesce(F.sum("sum").over(Window.partitionBy("source_rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))

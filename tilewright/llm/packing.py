@@ -2,9 +2,9 @@
 
 Documents are cut into full windows and a tail shorter than a window. The histogram of tail lengths, bounded by the window, is
 all that the driver sees. Combinations of up to three lengths that fill a window exactly are enumerated; how often each
-is used solves a non-negative least-squares problem against the histogram, is rounded down, and limited to what is there. Tails that no
-combination took are laid end to end and cut at window borders; the last, part-filled window is cut into powers of two,
-which take no padding.
+is used solves a non-negative least-squares problem against the histogram, is rounded down, and limited to what is there. The
+residual is packed greedily, longest tails first, into windows that it fills exactly. Tails for which that does not come out are laid end
+to end and cut at window borders; the last, part-filled window is cut into powers of two, which take no padding.
 """
 
 from __future__ import annotations
@@ -20,11 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import claim, keep
+from .common import Memo, keep, parts, worker
 
 WINDOW, END = 2048, 1
-#: Words whose ids a worker keeps; beyond that they are forgotten.
-MEMO = 400_000
 #: Marks that are split off from letters before them.
 MARKS = ".,;:!?#$%&*|"
 #: Rows that share a tail length and a bucket, about; only these are ever ranked by one task.
@@ -33,62 +31,41 @@ BUCKET = 100_000
 
 class WordIds:
     """Ids of whole texts, put together from those of space-separated words: this vocabulary drops white space, and neither its
-    normaliser nor its patterns look beyond it. Words of letters go straight to the vocabulary's merges, others through the whole tokenizer."""
+    normaliser nor its patterns look beyond it. Words of letters go straight to the vocabulary's merges, others through the whole tokenizer.
+    Ids of words are remembered, in bounded memory."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        tokenizer = Tokenizer.from_file(vocabulary)
-        if tokenizer.get_vocab_size() > 1 << 16:
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
-        self.tokenizer, model, level = tokenizer, tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
         # How bytes are written: two-byte letters give every byte from 0x80, one character at a time.
-        written = {i: chr(i) for i in range(128)}
+        self.written = {i: chr(i) for i in range(128)}
         for c in map(chr, [*range(0xC0, 0x7C0), 0x4E00, *range(0x1000, 0xFFFF, 0x800)]):
             if c.isalpha():
-                written |= dict(zip(c.encode(), level.pre_tokenize_str(c)[0][0], strict=True))
-
-        class Cores(dict):
-            """Ids of words in lower case, marks behind them apart."""
-
-            def __missing__(self, core: str) -> bytes:
-                if len(self) > MEMO:
-                    self.clear()
-                if not core.isalpha() or core != core.lower():
-                    ids = tokenizer.encode(core, add_special_tokens=False).ids
-                elif core.isascii():
-                    ids = [t.id for t in model.tokenize(core)]
-                elif unicodedata.is_normalized("NFC", core) and (raw := core.encode()) and all(b in written for b in raw):
-                    ids = [t.id for t in model.tokenize("".join(map(written.__getitem__, raw)))]
-                else:
-                    ids = tokenizer.encode(core, add_special_tokens=False).ids
-                out = self[core] = array("H", ids).tobytes()
-                return out
-
-        cores = Cores()
-
-        class Words(dict):
-            def __missing__(self, word: str) -> bytes:
-                if len(self) > MEMO:
-                    self.clear()
-                core = word.rstrip(MARKS)
-                # The patterns split marks off the letters before them, and nothing before changes them.
-                if core and core[-1].isalpha() and "Σ" not in core and "İ" not in core and "<|" not in word:
-                    out = cores[core.lower()]
-                    if len(core) < len(word):
-                        out += cores[word[len(core) :]]
-                else:
-                    out = cores[word]
-                self[word] = out
-                return out
-
-        self.words, self.cores = Words(), cores
-
-    def forget(self) -> None:
-        self.words.clear()
-        self.cores.clear()
+                self.written |= dict(zip(c.encode(), level.pre_tokenize_str(c)[0][0], strict=True))
+        self.words = Memo(self.of_word)
+
+    def of_word(self, word: str) -> bytes:
+        core = word.rstrip(MARKS)
+        if core and core[-1].isalpha() and "Σ" not in core and "İ" not in core and "<|" not in word:
+            # The patterns split marks off the letters before them, and nothing before changes them.
+            lower = core.lower()
+            if lower != word:
+                return self.words[lower] + (self.words[word[len(core) :]] if len(core) < len(word) else b"")
+            if core.isalpha():
+                if core.isascii():
+                    return self.merged(core)
+                if unicodedata.is_normalized("NFC", core) and (raw := core.encode()) and all(b in self.written for b in raw):
+                    return self.merged("".join(map(self.written.__getitem__, raw)))
+        return array("H", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def merged(self, letters: str) -> bytes:
+        return array("H", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
@@ -115,22 +92,13 @@ def tokenized(docs: DataFrame, vocabulary: str, window: int, end: int) -> DataFr
 
     def f(batches):
         encode, last = word_ids(vocabulary), np.array([end], "<u2").tobytes()
-        claim("packing", encode.forget)
-
-        def part(ids, texts):
-            every = [x + last for x in encode(texts)]
-            cut = [len(x) // 2 // window * window * 2 for x in every]
-            full = [[crc(x[i : i + 2 * window]) for i in range(0, c, 2 * window)] for x, c in zip(every, cut, strict=True)]
-            tail = [x[c:] for x, c in zip(every, cut, strict=True)]
-            return pa.RecordBatch.from_arrays([ids, pa.array([len(x) // 2 for x in every], pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(tail, pa.binary()), pa.array([len(x) // 2 for x in tail], pa.int32())], ["doc_id", "doc_tokens", "full", "tail", "m"])
-
-        for b in batches:
-            texts, i, used = [x or "" for x in b.column(1).to_pylist()], 0, 0
-            for j, t in enumerate(texts, 1):
-                used += len(t)
-                if used > 2_000_000 or j == len(texts):
-                    yield part(b.column(0).slice(i, j - i), texts[i:j])
-                    i, used = j, 0
+        with worker("packing", encode.words.forget):
+            for b in parts(batches, 1):
+                every = [x + last for x in encode([x or "" for x in b.column(1).to_pylist()])]
+                cut = [len(x) // 2 // window * window * 2 for x in every]
+                full = [[crc(x[i : i + 2 * window]) for i in range(0, c, 2 * window)] for x, c in zip(every, cut, strict=True)]
+                tail = [x[c:] for x, c in zip(every, cut, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 2 for x in every], pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(tail, pa.binary()), pa.array([len(x) // 2 for x in tail], pa.int32())], ["doc_id", "doc_tokens", "full", "tail", "m"])
 
     return docs.select("doc_id", "text").mapInArrow(f, f"doc_id {id_type}, doc_tokens long, full array<long>, tail binary, m int")
 
@@ -161,6 +129,31 @@ def solve(columns: np.ndarray, parts: np.ndarray, hist: np.ndarray, steps: int =
     return x
 
 
+def filling(left: np.ndarray, first: int, window: int) -> tuple[int, ...] | None:
+    """Greedily, lengths of which some are left and that fill a window exactly: `first`, then the longest that leaves no more than two
+    others can fill, else the longest that fits. None if that does not come out."""
+    have = left.copy()
+    out, room = [first], window - first
+    have[first] -= 1
+    if have[first] < 0:
+        return None
+    while room:
+        if have[room] > 0:
+            return tuple(out) + (room,)
+        a = np.arange(room - 1, (room - 1) // 2, -1)  # the longer of two that fill the room
+        pair = a[(have[a] > 0) & (have[room - a] > (a == room - a))]
+        if len(pair):
+            return (*out, int(pair[0]), room - int(pair[0]))
+        fits = np.flatnonzero(have[1:room] > 0)
+        if not len(fits):
+            return None
+        m = int(fits[-1]) + 1
+        out.append(m)
+        have[m] -= 1
+        room -= m
+    return tuple(out)
+
+
 class Plan:
     """Where the tail of length m and rank r goes. Bounded by the window's length, whatever the corpus."""
 
@@ -179,15 +172,15 @@ class Plan:
                 c = combos[k]
                 times = min(int(x[k]), *(int(left[m]) // c.count(m) for m in c))
                 if times:
-                    at = 0
-                    for m in c:
-                        places.append((m, int(self.taken[m]), sequence, at))
-                        self.taken[m] += times
-                        left[m] -= times
-                        at += m
+                    self.put(c, times, left, places, sequence)
                     sequence += times
+        for length in range(window - 1, 0, -1):
+            while c := filling(left, length, window):
+                times = min(int(left[m]) // c.count(m) for m in c)
+                self.put(c, times, left, places, sequence)
+                sequence += times
         places.sort()
-        self.key = np.array([(m << 40) + lo for m, lo, _, _ in places], np.int64)
+        self.key = np.array([(m << 40) + lo for m, lo, *_ in places], np.int64)
         self.place = places
         lengths = np.arange(len(hist), dtype=np.int64)
         self.stream = np.concatenate([[0], np.cumsum(left * lengths)])[:-1]
@@ -198,6 +191,15 @@ class Plan:
             if rest >> p & 1:
                 self.borders.append(self.borders[-1] + (1 << p))
 
+    def put(self, combination: tuple[int, ...], times: int, left: np.ndarray, places: list, sequence: int) -> None:
+        """The next `times` windows from `sequence` on get one tail of each length of the combination."""
+        at = 0
+        for m in combination:
+            places.append((m, int(self.taken[m]), sequence, at))
+            self.taken[m] += times
+            left[m] -= times
+            at += m
+
     def pieces(self, m: int, rank: int):
         """(begin, length, sequence, offset) of each piece of a tail."""
         if rank < self.taken[m]:

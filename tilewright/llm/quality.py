@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim
+from .common import parts, worker
 
 NAMES = ["chars", "words", "word_len", "upper", "digit", "odd_symbols", "bang", "pipe", "other_ascii", "beyond_ascii", "space", "lines", "line_len", "repeated_lines", "distinct_words", "long_words", "stops", "caps_words", "odd_ends", "longest_word"]
 LETTERS = np.zeros(256, int)
@@ -165,10 +165,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     chosen = known.orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
 
     def f(batches):
-        claim("quality")
-        for b in batches:
-            x = matrix(b.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+        with worker("quality"):
+            for b in parts(batches, 2):
+                x = matrix(b.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "y", "text").mapInArrow(f, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x array<double>").collect()
     rows = sorted(rows, key=lambda r: (r[0], r[2]))
@@ -181,10 +181,10 @@ def score(docs: DataFrame, model: Model, cols: list[str] = ("doc_id",)) -> DataF
     schema = ", ".join(f"`{c}` {inputs.schema[c].dataType.simpleString()}" for c in cols) + ", score double"
 
     def f(batches):
-        claim("quality")
-        for b in batches:
-            s = model.score(matrix(b.column(b.num_columns - 1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], [*b.schema.names[:-1], "score"])
+        with worker("quality"):
+            for b in parts(batches, len(cols)):
+                s = model.score(matrix(b.column(len(cols)).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], [*b.schema.names[:-1], "score"])
 
     return inputs.mapInArrow(f, schema)
 
@@ -194,8 +194,8 @@ def select_good(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
     text = docs.columns.index("text")
 
     def f(batches):
-        claim("quality")
-        for b in batches:
-            yield b.filter(pa.array(model.score(matrix(b.column(text).to_pylist())) >= threshold))
+        with worker("quality"):
+            for b in parts(batches, text):
+                yield b.filter(pa.array(model.score(matrix(b.column(text).to_pylist())) >= threshold))
 
     return docs.mapInArrow(f, docs.schema)

@@ -120,6 +120,12 @@ def test_suffix_dedup(docs, rows):
     assert sorted(map(tuple, suffix_dedup.remove_repeats(docs, 50, digest=True).collect())) == removed(rows, 50)
 
 
+def test_suffix_dedup_hot_anchors(docs, rows, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 5)
+    monkeypatch.setattr(suffix_dedup, "FRONTIER", 900)
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(docs, 50, digest=True).collect())) == removed(rows, 50)
+
+
 def test_suffix_dedup_texts(with_null_id, docs, empty):
     got = suffix_dedup.remove_repeats(with_null_id, 50)
     assert got.columns == with_null_id.columns and got.count() == with_null_id.count()
@@ -137,6 +143,25 @@ def test_token_counts(docs, rows, empty):
     assert token_counts.count_tokens(empty).count() == 0
 
 
+def test_null_ids(with_null_id):
+    assert [tuple(r) for r in token_counts.count_tokens(with_null_id).filter("doc_id is null").collect()] == [(None, 10, len(token_counts.transducer("piece_bpe_32k.model").model.encode("no id here")))]
+    assert mixing.mix(with_null_id).filter("doc_id is null and size = 3").count() == 1
+    assert packing.pack(with_null_id).filter("doc_id is null").agg(F.sum("length"), F.max("doc_tokens")).first() == (4, 4)
+
+
+def test_token_counts_of_pieces(monkeypatch):
+    """Texts of which every border is one of pieces; tables so small that they are thrown away again and again."""
+    t, r = token_counts.transducer("piece_bpe_32k.model"), random.Random(4)
+    assert t.compiles
+    for limit in (300_000, 30):
+        monkeypatch.setattr(token_counts, "TRANSITIONS", limit)
+        t.forget()
+        for _ in range(1500):
+            s = "".join(r.choice(t.pieces) for _ in range(r.randrange(12))) + " " * r.randrange(40) + "".join(r.choice("etaoin shrdlu") for _ in range(30))
+            assert t.count(s) == len(t.model.encode(s)), s
+    t.forget()
+
+
 def test_token_counts_in_chunks(monkeypatch):
     t, r = token_counts.transducer("piece_bpe_32k.model"), random.Random(1)
     for chunk in (3, 7, 50):
@@ -167,6 +192,16 @@ def test_mixing(docs, rows, empty, spark):
     assert all(got[i] == copies[i] * (2 if i == 209 else 1) for i in copies)
 
 
+def test_mixing_any_weights(spark, monkeypatch):
+    """Equal weights choose alike whatever they are, and leave the buckets even."""
+    monkeypatch.setattr(mixing, "BUCKET", 100)
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("a b").alias("text"))
+    one = {r.doc_id: r.copies for r in mixing.mix(d, share=0.5).collect()}
+    for w in (1000.0, 1e-6, float("inf"), float("nan")):
+        assert {r.doc_id: r.copies for r in mixing.mix(d, d.select("doc_id", F.lit(w).alias("weight")), share=0.5).collect()} == one
+    assert sum(one.values()) == 1500
+
+
 def test_mixing_targets(spark):
     s = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 30), (None, 500), ("d", 0)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(s).collect()}
@@ -207,6 +242,18 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_greedy():
+    r = np.random.default_rng(0)
+    for _ in range(200):
+        left = r.integers(0, 3, 64) * (r.random(64) < 0.3)
+        left[0] = 0
+        for first in np.flatnonzero(left):
+            c = packing.filling(left, int(first), 64)
+            if c:
+                assert sum(c) == 64 and c[0] == first and all(left[m] >= c.count(m) for m in c)
+    assert packing.filling(np.array([0, 1, 0, 1]), 3, 4) == (3, 1) and packing.filling(np.array([0, 0, 1, 0]), 2, 4) is None
+
+
 def test_word_ids():
     w, r = packing.word_ids("word_bpe_49k.json"), random.Random(2)
     for _ in range(4000):
@@ -230,6 +277,34 @@ def test_fingerprints(docs, rows, with_null_id, empty):
     assert fingerprints.edited_fingerprints(empty).count() == 0
 
 
+def test_fingerprint_bits(spark):
+    import re
+
+    import xxhash
+
+    def brute(text):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+        votes, total = [0] * 64, 0
+        for x, y in zip(words, [*words[1:], None], strict=False):
+            h = xxhash.xxh64_intdigest(x.encode(), 42)
+            h = h if y is None else xxhash.xxh64_intdigest(y.encode(), h)
+            w = min(16, len(x) + len(y or ""))
+            total += w
+            for j in range(64):
+                votes[j] += w * (h >> j & 1)
+        return sum(1 << j for j in range(64) if 2 * votes[j] > total)
+
+    r = random.Random(6)
+    texts = {i: t for i, t in enumerate([words(r, 30), words(r, 200), "", None, "one", "a b  a\nb", words(r, 31)])}
+    got = {x.doc_id: x for x in fingerprints.edited_fingerprints(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).withColumn("near", fingerprints.likeness(F.col("fp"), F.col("edited_fp"))).withColumn("next", fingerprints.likeness(F.col("fp"), F.col("next_fp"))).collect()}
+    for i, t in texts.items():
+        t, after = t or "", texts[(i + 1) % len(texts)] or ""
+        q = len(t) // 4
+        fp, edited, follows = brute(t), brute(t[: len(t) - q] + after[:q]), brute(after)
+        assert (got[i].fp % 2**64, got[i].edited_fp % 2**64, got[i].next_fp % 2**64) == (fp, edited, follows)
+        assert got[i].near == 1 - bin(fp ^ edited).count("1") / 64 and got[i].next == 1 - bin(fp ^ follows).count("1") / 64
+
+
 def test_near_pairs(spark):
     r = random.Random(1)
     v = [r.getrandbits(64) for _ in range(60)]
@@ -238,6 +313,7 @@ def test_near_pairs(spark):
     want = {(a, b) for a in v for b in v if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 3}
     got = fingerprints.near_pairs(spark.createDataFrame([(x,) for x in [*v, *v, None]], "fp long"), 3).collect()
     assert {(x.fp_a, x.fp_b) for x in got} == want and len(got) == len(want)
+    assert fingerprints.near_pairs(spark.createDataFrame([], "fp long")).count() == 0
 
 
 def test_nearest(spark, monkeypatch):
@@ -279,34 +355,64 @@ def test_nearest_third_of_the_rows_alike(spark, monkeypatch, spread):
 
 
 def test_nearest_first_of_equal():
-    ids, x = np.array([1, 1, 1, 2, 3, 4, 5, 6]), np.ones((8, 4))
-    assert nearest.first_of_equal(ids, x, 2).tolist() == [0, 1, 3, 4]
+    x = np.ones((8, 4))
+    assert nearest.first_of_equal(x, 2).tolist() == [0, 1, 2]
     x[4] = 2
-    assert nearest.first_of_equal(ids, x, 2).tolist() == [0, 1, 3, 4, 5]
+    assert nearest.first_of_equal(x, 2).tolist() == [0, 1, 2, 4]
 
 
-def test_warc(spark):
+def test_nearest_repeated_ids(spark):
+    r = np.random.default_rng(2)
+    x = np.round(r.normal(size=(101, 8)), 3)
+    ids = [*range(100), 0]
+    v = spark.createDataFrame([(i, y.tolist(), 5) for i, y in zip(ids, x, strict=True)] + [(None, [1.0] * 8, 5)], "vec_id long, embedding array<double>, rank int")
+    lists = collections.defaultdict(list)
+    for a in nearest.search(v, 20, 20).collect():
+        lists[a.query_row].append((a.rank, a.query_id, a.vec_id, a.score))
+    want = []
+    for i in [j for j, k in enumerate(ids) if k % 20 == 0]:
+        s = sorted((-float(np.cumsum(x[i] * x[j])[-1]), ids[j]) for j in range(101) if j != i)[:20]
+        want.append([(n, ids[i], k, -t) for n, (t, k) in enumerate(s, 1)])
+    assert sorted(map(sorted, lists.values())) == sorted(want)
+
+
+def archived(spark, pages, tmp_path):
+    folder = f"file://{tmp_path}/w"
+    (tmp_path / "w").mkdir()
+    manifest = spark.createDataFrame(warc.write_archives(warc.judged(pages), folder).collect(), "archive string, records long, n_bytes long")
+    return warc.open_archives(manifest, folder), manifest
+
+
+def test_warc(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 500)
     big = "é" * 40_000
-    data = [(1, "http://a/\r\nX: y", big), (2, None, big), (0, "u", big), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "w", "z" * 100), (7, "w", "z" * 100)]
-    pages = spark.createDataFrame(data, "page_id long, url string, html string")
-    archives = warc.write_records(warc.judged(pages))
+    data = [(1, "http://a/\r\nX: y", big), (2, None, big), (0, "u", big), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "w", "z" * 100), (7, "w", "z" * 100), (None, "n", "no id")]
+    pages = spark.createDataFrame([(*d, 1, "x") for d in data], "page_id long, url string, html string, digest int, refers_to string")
+    archives, manifest = archived(spark, pages, tmp_path)
+    (tmp_path / "w" / "part-000000-left-over.warc.gz").write_bytes(b"of a lost task")
     got = warc.assemble(warc.read_records(archives)).collect()
+    assert len(list((tmp_path / "w").glob("*.warc.gz"))) == manifest.count() + 1 > 2
     assert collections.Counter((r.page_id, r.response.record_type) for r in got) == collections.Counter((i, "revisit" if i in (1, 2) else "response") for i, _, _ in data)
     for r in got:
         html = (dict((i, h) for i, _, h in data)[r.page_id] or "").encode()
         assert r.response.payload_bytes == len(html) and r.response.payload_digest == hashlib.sha256(html).hexdigest() and r.request and r.metadata
         assert r.response.payload is None if r.response.record_type == "revisit" else bytes(r.response.payload) == html
         assert (r.response.refers_to_page == 0) == (r.page_id in (1, 2))
-    assert warc.assemble(warc.read_records(warc.write_records(warc.judged(pages.limit(0))))).count() == 0
+    (tmp_path / "none").mkdir()
+    assert warc.assemble(warc.read_records(archived(spark, pages.limit(0), tmp_path / "none")[0])).count() == 0
 
 
-def test_warc_damage():
-    raw = warc.record("response", [("WARC-Record-ID", "x")], b"abc")
-    assert warc.parse(next(warc.members(raw)))[2] == b"abc"
-    with pytest.raises(ValueError):
-        list(warc.members(raw[:-3]))
-    with pytest.raises(ValueError):
-        warc.parse(b"no record\r\n\r\n")
+def test_warc_of_others(spark):
+    http = lambda fields, body: b"HTTP/1.1 200 OK\r\n" + fields + b"\r\n" + body
+    of = lambda name, block: warc.record("response", [("WARC-Record-ID", name)], block)
+    plain = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: plain\r\nContent-Length: 4\r\n\r\nA\r\n\r\r\n\r\n" * 2
+    good = of("fits", http(b"Content-Length: 3\r\n", b"abc")) + of("untold", http(b"Server: x\r\n", b"abc")) + of("longer", http(b"content-length: 9\r\n", b"abc"))
+    good += of("chunks", http(b"Transfer-Encoding: chunked\r\n", b"2;x\r\nab\r\n1\r\nc\r\n0\r\n\r\n")) + of("broken chunks", http(b"Transfer-Encoding: chunked\r\n", b"zz\r\nab"))
+    good += warc.record("response", [("WARC-Record-ID", "digest"), ("WARC-Payload-Digest", "sha256:00")], http(b"", b"abc"))
+    rows = [("a", good), ("cut", of("cut", http(b"", b"abc" * 99))[:-20]), ("none", b"no record\r\n\r\n"), ("plain", plain), ("null", None), ("empty", b""), ("garbage", b"\x1f\x8bnot gzip")]
+    got = [(r.record_id, r.record_type, r.damaged, r.payload and bytes(r.payload)) for r in warc.read_records(spark.createDataFrame(rows, "archive string, content binary").coalesce(1)).collect()]
+    assert got[:6] == [("fits", "response", False, b"abc"), ("untold", "response", False, b"abc"), ("longer", "response", True, b"abc"), ("chunks", "response", False, b"abc"), ("broken chunks", "response", True, b"zz\r\nab"), ("digest", "response", True, b"abc")]
+    assert [g[:3] for g in got[6:]] == [("cut", "response", True), (None, None, True), ("plain", "response", False), ("plain", "response", False)]
 
 
 def test_url_rules(spark):
@@ -341,6 +447,69 @@ def test_links_do_not_dilute_distrust(spark):
     assert {r.verdict for r in url_filter.judge(pages).collect() if r.path == "/free"} == {"block"}
 
 
+def test_links_against_other_routes(spark, tmp_path):
+    """A random web: scores as the solution of the linear equations, verdicts by the SQL."""
+    import duckdb
+
+    r = random.Random(8)
+    hosts = [f"h{i}.{r.choice(['com', 'net', 'org', 'xyz'])}" for i in range(40)] + ["example.com", "www.example.net"]
+    data = []
+    for i in range(400):
+        h = r.choice(hosts)
+        path = r.choice(["/en/7", "/de/8", "/es/1", "/x", ""])
+        links = "".join(f'<a HREF = "{r.choice(["http:", "https:", ""])}//{r.choice(hosts).upper()}/p">' for _ in range(r.randrange(3)))
+        data.append((i, f"http://{h}{path}", r.choice([links, links, None]), "rule", 1))
+    hosts += ["far.xyz", "bad.com"]
+    data += [(501, "http://far.xyz/x", '<a href="//bad.com/">', None, 1), (502, "http://bad.com/en/1", None, None, 1)]
+    data += [data[0], (None, None, None, None, 2), (500, "http://h1.com/en/1", "", None, 3)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string, rule string, verdict int")
+    got = {x.host: x for x in url_filter.host_scores(pages).collect()}
+    edges = {(x.src, x.dst): x.links for x in url_filter.host_edges(pages).collect()}
+    assert edges == collections.Counter((d[1].split("/")[2], x) for d in data if d[1] and d[2] for x in [y.split("//")[1].split("/")[0].lower() for y in d[2].split("<a")[1:]] if x != d[1].split("/")[2])
+    verdicts = collections.defaultdict(collections.Counter)
+    for x in url_filter.with_rules(pages.drop("rule").select(url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path"))).collect():
+        verdicts[x.host][x.ruled] += 1
+    block = {h for h, c in verdicts.items() if h and c["block"] > sum(c.values()) / 2}
+    allow = {h for h, c in verdicts.items() if h and c["allow"]} - block
+    assert block and allow
+    for seeds, col, turn in ((allow, "trust", False), (block, "distrust", True)):
+        n = len(hosts)
+        p = np.zeros((n, n))
+        for (a, b), k in edges.items():
+            a, b = (b, a) if turn else (a, b)
+            p[hosts.index(a), hosts.index(b)] = k
+        p /= np.maximum(p.sum(1, keepdims=True), 1)
+        s = np.linalg.solve(np.eye(n) - 0.85 * p.T, np.array([float(h in seeds) for h in hosts]))
+        assert all(abs((got[h][col] if h in got else 0.0) - s[i]) <= 0.02 * s.sum() for i, h in enumerate(hosts))
+    con = duckdb.connect()
+    pages.toPandas().to_parquet(tmp_path / "pages.parquet")
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet'")
+    want = con.execute(url_filter.sql()).fetchall()
+    key = lambda x: tuple(map(str, x))
+    judged = sorted(map(tuple, url_filter.judge(pages).collect()), key=key)
+    assert judged == sorted(want, key=key) and len(judged) == len(data)
+    assert len({x[4] for x in judged if x[3] is None}) == 2
+    assert url_filter.judge(pages.limit(0)).count() == 0
+
+
+def test_quality_tables(spark):
+    """A score is the sum of the tables' entries, looked up one by one; clashing names are no matter."""
+    r = random.Random(9)
+    texts = [words(r, r.randrange(1, 60)) + r.choice(["", "!!", " ###", " 123"]) for _ in range(150)]
+    docs = spark.createDataFrame([(i, t, 0.5, 7, "n") for i, t in enumerate(texts)], "doc_id long, text string, score double, y int, labelled string")
+    labels = spark.createDataFrame([(i, int(len(t) % 3 > 0), "k") for i, t in enumerate(texts)], "doc_id long, quality int, text string")
+    m = quality.train(docs, labels)
+    assert m.pairs
+    for x in quality.score(docs, m).collect():
+        v, z = quality.features(texts[x.doc_id]), m.base
+        for j, t in enumerate(m.tables):
+            z += t[sum(e <= v[j] for e in m.edges[j])]
+        for (i, j), t in zip(m.pairs, m.pair_tables, strict=True):
+            z += t[sum(e <= v[i] for e in m.coarse[i])][sum(e <= v[j] for e in m.coarse[j])]
+        assert abs(x.score - 1 / (1 + np.exp(-z))) < 1e-9
+    assert quality.select_good(docs, m, 0.0).columns == docs.columns
+
+
 def test_quality(spark):
     r = random.Random(3)
     good = lambda: words(r, r.randrange(5, 80))

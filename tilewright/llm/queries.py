@@ -17,10 +17,40 @@ def op2_near_dup(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+OP2_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS n, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i WHERE 100 * k >= 85 * (n - k)),
+links AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON s.doc_id = c.a
+"""
+
+
 def op3_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=50, digest=True)
 
 
+OP3_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+g AS (SELECT doc_id, i, b[i : i + 49] AS s FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS first_id FROM g GROUP BY s),
+h AS (SELECT g.doc_id, i FROM g JOIN f USING (s) WHERE first_id < g.doc_id),
+n AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM h),
+r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n),
+c AS (SELECT doc_id, min(i) AS first, max(i) + 50 AS past FROM r GROUP BY doc_id, run),
+e AS (SELECT doc_id, first, past FROM c UNION ALL SELECT doc_id, octet_length(b) + 1, octet_length(b) + 1 FROM d),
+k AS (SELECT doc_id, first, past, coalesce(lag(past) OVER (PARTITION BY doc_id ORDER BY first, past), 1) AS since FROM e)
+SELECT d.doc_id, octet_length(any_value(b))::BIGINT AS n_bytes, sum(past - first)::BIGINT AS n_removed, (count(*) - 1)::BIGINT AS n_spans,
+  sha256(unhex(string_agg(CASE WHEN first > since THEN hex(b[since : first - 1]) ELSE '' END, '' ORDER BY first, past))) AS kept_sha256
+FROM d JOIN k USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 def op4_token_counts(spark, sf_dir, limit: int = 4096):
     n = token_counts.count_tokens(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
     return n.withColumn("over_limit", F.col("n_tokens") > limit)
@@ -70,4 +100,4 @@ def op10_fingerprints(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_dup, op3_suffix_dedup, op4_token_counts, op5_warc, op6_packing, op7_url_filter, op8_quality, op9_nearest, op10_fingerprints)}
-SQL = {"op1_mix_sources": mixing.SQL, "op5_warc": OP5_SQL, "op9_nearest": nearest.SQL}
+SQL = {"op1_mix_sources": mixing.SQL, "op5_warc": OP5_SQL, "op2_near_dup": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op7_url_filter": url_filter.sql(), "op9_nearest": nearest.SQL}

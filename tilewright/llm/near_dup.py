@@ -20,23 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, keep, release
+from .common import Memo, drop_kept, keep, parts, worker
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 P1, P2 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
-#: Words whose hashes a worker keeps; beyond that they are forgotten.
-MEMO = 400_000
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Words()
+_words = Memo(xxhash.xxh3_64_intdigest)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -94,14 +82,9 @@ def sketch(docs: DataFrame, size: int, groups: int, rows: int) -> DataFrame:
         )
 
     def f(batches):
-        claim("near_dup", _words.clear)
-        for b in batches:
-            texts, i, used = b.column(1).to_pylist(), 0, 0
-            for j, t in enumerate(texts, 1):  # few texts at a time where they are long
-                used += len(t or "")
-                if used > 2_000_000 or j == len(texts):
-                    yield part(b.column(0).slice(i, j - i), texts[i:j])
-                    i, used = j, 0
+        with worker("near_dup", _words.forget):
+            for b in parts(batches, 1):
+                yield part(b.column(0), b.column(1).to_pylist())
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(f, SKETCH)
 
@@ -110,10 +93,10 @@ def set_table(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     """rep, set binary (sorted 64-bit hashes) of the documents in reps."""
 
     def f(batches):
-        claim("near_dup", _words.clear)
-        for b in batches:
-            sets = [shingles(t, size).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["rep", "set"])
+        with worker("near_dup", _words.forget):
+            for b in parts(batches, 1):
+                sets = [shingles(t, size).tobytes() for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["rep", "set"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps, "rep", "left_semi")
     return texts.mapInArrow(f, "rep long, set binary")
@@ -123,13 +106,14 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """x, y, linked of pairs, on their full sets: 100 * intersection >= percent * union. A pivot's set is joined to its pairs; Spark splits hot pivots."""
 
     def f(batches):
-        for b in batches:
-            linked = []
-            for s, t in zip(b.column(2), b.column(3), strict=True):
-                s, t = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
-                both = shared_count(s, t)
-                linked.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], ["x", "y", "linked"])
+        with worker("near_dup"):
+            for b in batches:
+                linked = []
+                for s, t in zip(b.column(2), b.column(3), strict=True):
+                    s, t = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
+                    both = shared_count(s, t)
+                    linked.append(100 * both >= percent * (len(s) + len(t) - both))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], ["x", "y", "linked"])
 
     with_y = pairs.join(sets.select(F.col("rep").alias("y"), F.col("set").alias("set_y")), "y")
     both = with_y.join(sets.select(F.col("rep").alias("x"), F.col("set").alias("set_x")), "x").select("x", "y", "set_x", "set_y")
@@ -213,22 +197,23 @@ def components(edges: DataFrame) -> DataFrame:
     out = None
     while not e.isEmpty():
         ends = e.select(F.col("x").alias("node"), F.col("y").alias("other")).unionByName(e.select(F.col("y").alias("node"), F.col("x").alias("other")))
-        p = keep(ends.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("parent")), "parents")
-        while True:
+        p, moved = keep(ends.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("parent")), "parents"), True
+        while moved:
             q = p.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
             p2 = keep(p.join(q, "parent").select("node", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")), "parents")
-            moved = not p2.filter("moved").isEmpty()
-            p = p2.select("node", "parent")
-            if not moved:
-                break
+            drop_kept(p)
+            p, moved = p2.select("node", "parent"), not p2.filter("moved").isEmpty()
+        x, y = p.select(F.col("node").alias("x"), F.col("parent").alias("px")), p.select(F.col("node").alias("y"), F.col("parent").alias("py"))
+        e2 = keep(e.join(x, "x").join(y, "y").filter("px != py").select(F.least("px", "py").alias("x"), F.greatest("px", "py").alias("y")).distinct(), "edges")
+        drop_kept(e)
+        e = e2
         if out is None:
             out = p.withColumnRenamed("parent", "component")
         else:
             up = p.select(F.col("node").alias("component"), "parent")
-            out = keep(out.join(up, "component", "left").select("node", F.coalesce("parent", "component").alias("component")), "labels")
-        x, y = p.select(F.col("node").alias("x"), F.col("parent").alias("px")), p.select(F.col("node").alias("y"), F.col("parent").alias("py"))
-        e = e.join(x, "x").join(y, "y").filter("px != py").select(F.least("px", "py").alias("x"), F.greatest("px", "py").alias("y")).distinct()
-        e = keep(e, "edges")
+            out2 = keep(out.join(up, "component", "left").select("node", F.coalesce("parent", "component").alias("component")), "labels")
+            drop_kept(out, p)
+            out = out2
     return out if out is not None else e.select(F.col("x").alias("node"), F.col("y").alias("component"))
 
 
@@ -253,21 +238,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, groups: i
     a, b = side("a"), side("b")
     buckets = keep(shared(a.join(b.select("rep", F.col("key").alias("key_b")), "rep").select("rep", F.xxhash64("key", "key_b").alias("key")).distinct()), "buckets")
     sets = keep(set_table(docs, buckets.select("rep").distinct(), size), "sets")
-    release(docs)
+    drop_kept(a, b)
 
     # Rows that share an id hold several classes together.
     edges = keep(usable.join(classes.select("rep", *name), name).filter("rep != doc_id").join(classes.select(F.col("rep").alias("doc_id")), "doc_id").select(F.col("rep").alias("x"), F.col("doc_id").alias("y")).distinct(), "links")
     members = pivoted(buckets)
     seen = keep(compare(members.select("x", "y").distinct(), sets, percent), "compared")
-    edges = keep(edges.unionByName(seen.filter("linked").select("x", "y")).distinct(), "links")
-    comp = components(edges)
+    links = keep(edges.unionByName(seen.filter("linked").select("x", "y")).distinct(), "links")
+    comp = components(links)
     # What is left of a bucket matters where it lies in several components, not all linked with the pivot.
     m = members.join(seen, ["x", "y"]).join(comp.select(F.col("node").alias("y"), "component"), "y", "left").withColumn("component", F.coalesce("component", "y"))
     open_ = m.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bool_and("linked").alias("settled")).filter("low < high and not settled").select("key")
     m = keep(m.join(open_, "key", "left_semi").select("x", "y", "component", "linked").distinct(), "open")
     more = keep(block_links(m, sets, percent), "more-links")
     if not more.isEmpty():
-        comp = components(edges.unionByName(more))
+        comp = components(links.unionByName(more))
+    drop_kept(buckets, sets, edges, seen, links, m, more)
     # Only classes with several documents or with links need the joins.
     of_class = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").filter("last != rep or component is not null").select(*name, F.coalesce("component", "rep").alias("component"))
     out = sk.select("doc_id", *name).join(of_class, name, "left")

@@ -6,11 +6,12 @@
    hashes of its anchors, once each, to the range of hashes they fall in, and gets back those that several documents have.
 3. Neighbouring strings with one anchor that is shared are written as one segment. Equal segments become one, with the smallest document
    that has it, before anything meets in one place.
-4. Segments with the same anchor meet in a bin. The suffixes that begin at anchors are sorted; their common prefixes of
-   length - j bytes are the first intervals. Breadth-first backward extension, the step of a Burrows-Wheeler transform (a
-   stable sort by the byte before each suffix), turns them into the intervals of length - j + 1, ... bytes, and stops at `length`: an
-   interval's strings are then equal, and its smallest document is the earliest. Intervals of one row are dropped as they arise. A transform of the whole corpus
-   is never needed: strings with different anchors are never equal.
+4. Segments with the same anchor meet in a bin; where very many have one anchor, string by string. The suffixes that begin at anchors are
+   sorted, and one frontier of intervals grows breadth first with the length of their common prefix. From one value to the next each interval is
+   extended backward, the step of a Burrows-Wheeler transform (a stable sort by the byte before), and the intervals of suffixes that agree in
+   so many bytes from the anchor on come in; the strings that begin j bytes before the anchor are those which come in at length - j. All
+   stop at `length`: an interval's strings are then equal, and its smallest document is the earliest. Intervals of one row are dropped as they
+   arise. A transform of the whole corpus is never needed: strings with different anchors are never equal.
 5. Each segment's documents learn where an earlier one has the string, and the covered bytes go.
 """
 
@@ -25,11 +26,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, drop_kept, keep, release
+from .common import drop_kept, keep
 
 K = 20
 #: Bytes of text in a batch, of anchor hashes in a range, of segments in a bin, about.
-BATCH, RANGE, BIN = 3 << 20, 24 << 20, 8 << 20
+BATCH, RANGE, BIN = 3 << 20, 24 << 20, 4 << 20
+#: Rows of a frontier of intervals, about; where a bin has more, fewer of them are extended at a time.
+FRONTIER = 2_500_000
+#: Segments with one anchor from which on each of their strings is dealt out on its own.
+HOT = 50_000
 #: Bytes of texts hashed at a time.
 PART = 1 << 19
 #: Low bits of a sliding minimum that hold the place; a batch of texts, or one text, may have so many bytes.
@@ -126,32 +131,37 @@ def earliest(segments: list[bytes], before: np.ndarray, docs: np.ndarray, length
     cols = np.arange(length)
     after = np.where(cols < right[:, None], flat[np.minimum((begin + before)[:, None] + cols, len(flat) - 1)], 0).astype(np.uint8)
     ahead = np.where(cols[:wide] < before[:, None], flat[np.maximum((begin + before - 1)[:, None] - cols[:wide], 0)], 0).astype(np.uint8)
-    order = np.argsort(np.ascontiguousarray(after).view(f"S{length}").ravel(), kind="stable")
+    order = np.argsort(np.ascontiguousarray(after).view(f"S{length}").ravel(), kind="stable").astype(np.int32)
     differ = after[order][1:] != after[order][:-1]
     prefix = np.concatenate([[0], np.where(differ.any(1), differ.argmax(1), length)])  # common with the row before
     out = np.repeat(docs[:, None], wide + 1, 1)
-    for j in range(wide + 1):  # strings that begin j bytes before their anchor
-        rows, interval = order, np.cumsum(prefix < length - j)
-        has = (before[rows] >= j) & (right[rows] >= length - j) & (before[rows] - j <= sizes[rows] - length)
-        rows, interval = rows[has], interval[has]
-        for step in range(j + 1):
-            if step:
-                byte = ahead[rows, step - 1]
+    room = sizes - length
+    some = max(1, FRONTIER // max(1, n))  # reaches to the right that share a frontier
+    for low in range(K, length + 1, some):
+        rows, reach, interval = np.zeros(0, np.int32), np.zeros(0, np.int8), np.zeros(0, np.int32)
+        for value in range(low, length + 1):
+            if len(rows):  # each interval by the byte ahead of it
+                byte = ahead[rows, value - 1 - reach]
                 by = np.argsort(byte, kind="stable")
-                rows, byte, interval = rows[by], byte[by], interval[by]
-                new = (interval[1:] != interval[:-1]) | (byte[1:] != byte[:-1])
-            else:
-                new = interval[1:] != interval[:-1]
-            new = np.concatenate([[True], new, [True]])[: len(rows) + 1] if len(rows) else np.zeros(1, bool)
-            interval = np.cumsum(new[:-1])
-            several = ~(new[:-1] & new[1:])
-            rows, interval = rows[several], interval[several]
-            if not len(rows):
-                break
+                rows, reach, interval, byte = rows[by], reach[by], interval[by], byte[by]
+                rows, reach, interval = several(rows, reach, interval, (interval[1:] != interval[:-1]) | (byte[1:] != byte[:-1]))
+            if value < low + some:  # and those of strings that begin length - value bytes before the anchor come in
+                j = length - value
+                has = (before[order] >= j) & (right[order] >= value) & (before[order] - j <= room[order])
+                at = np.cumsum(prefix < value, dtype=np.int32)[has]
+                more = several(order[has], np.full(len(at), value, np.int8), at, at[1:] != at[:-1])
+                rows, reach, interval = np.concatenate([rows, more[0]]), np.concatenate([reach, more[1]]), np.concatenate([interval, more[2] + len(rows) + 1])
         if len(rows):
             first = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
-            out[rows, j] = np.repeat(np.minimum.reduceat(docs[rows], first), np.diff(np.concatenate([first, [len(rows)]])))
-    return [out[i, b - k : b + 1][::-1] for i, (b, k) in enumerate(zip(before.tolist(), (sizes - length).tolist(), strict=True))]
+            out[rows, length - reach.astype(np.int64)] = np.repeat(np.minimum.reduceat(docs[rows], first), np.diff(np.concatenate([first, [len(rows)]])))
+    return [out[i, b - k : b + 1][::-1] for i, (b, k) in enumerate(zip(before.tolist(), room.tolist(), strict=True))]
+
+
+def several(rows: np.ndarray, reach: np.ndarray, interval: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Without the rows that are an interval alone; intervals numbered anew. border: where an interval ends."""
+    new = np.concatenate([[True], border, [True]])[: len(rows) + 1] if len(rows) else np.zeros(1, bool)
+    keep_ = ~(new[:-1] & new[1:])
+    return rows[keep_], reach[keep_], np.cumsum(new[:-1], dtype=np.int32)[keep_]
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -192,7 +202,6 @@ def segments(docs: DataFrame, settled: DataFrame, length: int, count: int, range
         return [b"" if keys[16 * i : 16 * i + 16] in out else (x or "").encode("utf-8", "surrogatepass") for i, x in enumerate(table.column("text").to_pylist())], ids, ths
 
     def send(table: pa.Table, right: pa.Table) -> pa.Table:
-        claim("suffix_dedup")
         if not len(table):
             return pa.table({"range": pa.array([], pa.int64()), "batch": pa.array([], pa.int64()), "hashes": pa.array([], pa.binary()), "several": pa.array([], pa.binary())})
         texts, ids, _ = read(table, right)
@@ -223,7 +232,6 @@ def segments(docs: DataFrame, settled: DataFrame, length: int, count: int, range
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"v": [], "seg": [], "before": [], "doc_id": [], "th": [], "start": []}
-        claim("suffix_dedup")
         hashes = [(r, h) for r, h in zip(right.column("range").to_pylist(), right.column("hashes").to_pylist(), strict=True) if r >= 0]
         if len(left) and hashes:
             texts, ids, ths = read(left, right)
@@ -247,13 +255,25 @@ def segments(docs: DataFrame, settled: DataFrame, length: int, count: int, range
     return t.groupBy("__batch").cogroup(shared.unionByName(out_of).groupBy("__batch")).applyInArrow(cut, "v long, seg binary, before long, doc_id long, th long, start long")
 
 
+def with_hot_split(found: DataFrame, length: int) -> DataFrame:
+    """Segments as they are, deal null; where HOT segments or more have one anchor, a row for each of their strings, dealt by a hash of the string."""
+    hot = keep(found.groupBy("v").count().filter(F.col("count") >= HOT).select("v"), "hot-anchors")
+    cold, n = found.withColumn("deal", F.lit(None).cast("long")), hot.count()
+    if not n:
+        return cold
+    hot = F.broadcast(hot) if n <= 10_000 else hot
+    s = found.join(hot, "v", "left_semi").withColumn("s", F.explode(F.sequence(F.lit(0), F.length("seg") - length)))
+    s = s.select("v", F.substring("seg", F.col("s") + 1, F.lit(length)).alias("seg"), (F.col("before") - F.col("s")).alias("before"), "doc_id", "th", (F.col("start") + F.col("s")).alias("start"))
+    return cold.join(hot, "v", "left_anti").unionByName(s.withColumn("deal", F.xxhash64("v", "before", "seg")))
+
+
 def removals(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
     """doc_id, th (hash of the text), first, last: spans to remove; and the number of batches texts are dealt into."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count, ranges = max(1, math.ceil(size / BATCH)), max(1, math.ceil(size * 0.4 / RANGE))
     settled = keep(copies(docs), "copies")
-    found = keep(segments(docs, settled, length, count, ranges), "segments")
-    release(docs)
+    cut = keep(segments(docs, settled, length, count, ranges), "segments")
+    found = with_hot_split(cut, length)
     bins = max(1, math.ceil(found.agg(F.sum(F.length("seg"))).first()[0] or 0) // BIN + 1)
 
     def combine(table: pa.Table) -> pa.Table:
@@ -272,7 +292,7 @@ def removals(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
         if held:
             yield from combine(pa.Table.from_batches(held)).select(["bin", "v", "before", "seg", "low", "high"]).to_batches(65_536)
 
-    d = found.select(F.pmod("v", F.lit(bins)).alias("bin"), "v", "before", "seg", F.col("doc_id").alias("low"), F.col("doc_id").alias("high"))
+    d = found.select(F.pmod(F.coalesce("deal", "v"), F.lit(bins)).alias("bin"), "v", "before", "seg", F.col("doc_id").alias("low"), F.col("doc_id").alias("high"))
     distinct = d.mapInArrow(squeeze, "bin long, v long, before long, seg binary, low long, high long").repartition(bins, "bin").withColumn("sh", F.xxhash64("seg"))
 
     def judge(table: pa.Table) -> pa.Table:
@@ -303,7 +323,7 @@ def removals(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
     where = found.select("v", F.xxhash64("seg").alias("sh"), "doc_id", "th", "start").join(judged, ["v", "sh"]).select("doc_id", "th", "start", "least")
     whole = settled.filter(F.col("size") >= length).select("doc_id", "th", F.lit(0).cast("long").alias("first"), F.col("size").alias("last"))
     out = keep(where.mapInArrow(spans, "doc_id long, th long, first long, last long").unionByName(whole), "spans")
-    drop_kept(found)
+    drop_kept(cut, settled)
     return out, count
 
 
@@ -313,10 +333,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False) -> D
     Strings are judged on the input, whole texts as UTF-8 bytes, never across documents. digest: returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row.
     Else the rows of docs with text (and n_chars, if there) changed; a span then gives up the bytes of characters that it holds
     only in part. Null texts count as empty and stay null; rows with null doc_id stay as they are and take nothing from others; rows
-    that share an id take nothing from one another; rows stay as many as they are.
+    that share an id take nothing from one another; rows stay as many as they are. An empty table gives no rows. A text may have up to 1 GiB; a larger
+    one raises ValueError.
     """
     spans, count = removals(docs, length)
-    release(docs)
     columns = ["text"] if digest else docs.columns
     t = batches_of(docs, columns, count)
     fields = [docs.schema[c] for c in docs.columns]

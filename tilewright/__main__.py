@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import math
 import os
 import sys
 
@@ -28,10 +29,10 @@ def memory(s: str) -> int:
     """A number with K, M or G behind it; MiB without."""
     t = s.strip()
     unit = {"K": 1 << 10, "M": 1 << 20, "G": 1 << 30}.get(t[-1:].upper())
-    v = int(t[:-1]) * unit if unit else int(t) << 20
-    if v <= 0:
-        raise argparse.ArgumentTypeError("memory must be positive")
-    return v
+    v = float(t[:-1]) * unit if unit else float(t) * (1 << 20)
+    if not 1 <= v < math.inf:
+        raise argparse.ArgumentTypeError("memory must be positive and finite")
+    return int(v)
 
 
 def positive(s: str) -> int:
@@ -46,6 +47,21 @@ def chunk(s: str):
     return "auto" if low == "auto" else None if low in ("off", "none", "disable", "disabled") else positive(s)
 
 
+#: Options of native raster libraries that mean nothing here; refused by name.
+REFUSED = ("--warp-threads", "--webp-method", "--warp-option", "--open-option", "--gdal-")
+
+
+def joined(argv: list[str]) -> list[str]:
+    """A value that begins with a minus sign goes to the option before it: argparse would take it for an option."""
+    out: list[str] = []
+    for x in argv:
+        if out and out[-1] == "--bounds":
+            out[-1] += f"={x}"
+        else:
+            out.append(x)
+    return out
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tilewright", description="Tile archives on Spark.")
     sub = p.add_subparsers(dest="command")
@@ -76,7 +92,14 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str]) -> int:
     p = parser()
-    a = p.parse_args(argv)
+    for x in argv:
+        if x.startswith(REFUSED):
+            print(f"tilewright: {x.split('=')[0]} has no meaning on Spark", file=sys.stderr)
+            return 1
+    try:
+        a = p.parse_args(joined(argv))
+    except SystemExit as e:
+        return 1 if e.code else 0
     if not a.command:
         p.print_help()
         return 0

@@ -23,11 +23,13 @@ def write_archive(tiles: DataFrame, path: str, metadata: str, header: codec.Head
     """
     t = keep(tiles.select("tile_id", "data").repartitionByRange("tile_id").sortWithinPartitions("tile_id"), "tiles")
     entries = keep(layout.with_offsets(t.select("tile_id", F.length("data").cast("long").alias("length"))), "entries")
-    n, ids, total = entries.agg(F.count("*"), F.count_distinct("tile_id"), F.sum("length")).first()
+    n, ids, total, longest = entries.agg(F.count("*"), F.count_distinct("tile_id"), F.sum("length"), F.max("length")).first()
     if not n:
         raise ValueError("no tiles to write")
     if n != ids:
         raise ValueError("several tiles have the same address")
+    if longest >= 1 << 32:
+        raise ValueError("a tile's length takes more than 32 bits")
     root, leaves = layout.directories(entries)
     meta = metadata.encode()
     h = header

@@ -15,6 +15,10 @@ PIXEL_SCALE, TIEPOINT, GEO_KEYS = 33550, 33922, 34735
 _TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
 
 
+#: Bytes of decoded blocks that a task keeps of a raster, one block at least.
+CACHE = 64 << 20
+
+
 @dataclass
 class Raster:
     """width, height, bands of 8 bits; gt: geotransform (x of the corner, pixel width, row turn, y, column turn, pixel height); epsg."""
@@ -34,7 +38,7 @@ class Raster:
 
     def _block(self, i: int) -> np.ndarray:
         if i not in self._cache:
-            if len(self._cache) > 256:
+            if (len(self._cache) + 1) * self.block[0] * self.block[1] * self.bands > CACHE:
                 self._cache.clear()
             at, size = self.places[i]
             with open(self.path, "rb") as f:

@@ -19,8 +19,10 @@ def number(name, most: int) -> Column:
 
 def parse_paths(files: DataFrame, path: str = "path") -> DataFrame:
     """Adds z, x, y, ext, format; all null where the path is not that of a tile."""
-    part = lambda i: F.regexp_extract(path, r"([^/]*)/([^/]*)/([^/]*)\.([^./]*)$", i)
-    d = files.withColumns({"z": number(part(1), 255).cast("int"), "x": number(part(2), (1 << 32) - 1), "y": number(part(3), (1 << 32) - 1), "ext": F.lower(part(4))})
+    d = files.withColumn("__parts", F.split(path, "/")).withColumn("__name", F.element_at("__parts", -1)).withColumn("ext", F.substring_index("__name", ".", -1))
+    part = lambda i: F.try_element_at("__parts", F.lit(i))
+    stem = F.when(F.contains("__name", F.lit(".")), F.expr("substring(__name, 1, length(__name) - length(ext) - 1)"))
+    d = d.withColumns({"z": number(part(-3), 255).cast("int"), "x": number(part(-2), (1 << 32) - 1), "y": number(stem, (1 << 32) - 1), "ext": F.lower("ext")}).drop("__parts", "__name")
     d = d.withColumn("format", text.format_of_extension("ext"))
     tile = F.col("z").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("format").isNotNull()
     return d.withColumns({c: F.when(tile, F.col(c)) for c in ("z", "x", "y", "ext", "format")})

@@ -120,8 +120,7 @@ def test_suffix_dedup(docs, rows):
     assert sorted(map(tuple, suffix_dedup.remove_repeats(docs, 50, digest=True).collect())) == removed(rows, 50)
 
 
-def test_suffix_dedup_hot_anchors(docs, rows, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", 5)
+def test_suffix_dedup_small_frontier(docs, rows, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "FRONTIER", 900)
     assert sorted(map(tuple, suffix_dedup.remove_repeats(docs, 50, digest=True).collect())) == removed(rows, 50)
 

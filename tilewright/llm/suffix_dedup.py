@@ -6,7 +6,7 @@
    hashes of its anchors, once each, to the range of hashes they fall in, and gets back those that several documents have.
 3. Neighbouring strings with one anchor that is shared are written as one segment. Equal segments become one, with the smallest document
    that has it, before anything meets in one place.
-4. Segments with the same anchor meet in a bin; where very many have one anchor, string by string. The suffixes that begin at anchors are
+4. Segments with the same anchor meet in a bin. The suffixes that begin at anchors are
    sorted, and one frontier of intervals grows breadth first with the length of their common prefix. From one value to the next each interval is
    extended backward, the step of a Burrows-Wheeler transform (a stable sort by the byte before), and the intervals of suffixes that agree in
    so many bytes from the anchor on come in; the strings that begin j bytes before the anchor are those which come in at length - j. All
@@ -33,8 +33,6 @@ K = 20
 BATCH, RANGE, BIN = 3 << 20, 24 << 20, 4 << 20
 #: Rows of a frontier of intervals, about; where a bin has more, fewer of them are extended at a time.
 FRONTIER = 2_500_000
-#: Segments with one anchor from which on each of their strings is dealt out on its own.
-HOT = 50_000
 #: Bytes of texts hashed at a time.
 PART = 1 << 19
 #: Low bits of a sliding minimum that hold the place; a batch of texts, or one text, may have so many bytes.
@@ -255,25 +253,12 @@ def segments(docs: DataFrame, settled: DataFrame, length: int, count: int, range
     return t.groupBy("__batch").cogroup(shared.unionByName(out_of).groupBy("__batch")).applyInArrow(cut, "v long, seg binary, before long, doc_id long, th long, start long")
 
 
-def with_hot_split(found: DataFrame, length: int) -> DataFrame:
-    """Segments as they are, deal null; where HOT segments or more have one anchor, a row for each of their strings, dealt by a hash of the string."""
-    hot = keep(found.groupBy("v").count().filter(F.col("count") >= HOT).select("v"), "hot-anchors")
-    cold, n = found.withColumn("deal", F.lit(None).cast("long")), hot.count()
-    if not n:
-        return cold
-    hot = F.broadcast(hot) if n <= 10_000 else hot
-    s = found.join(hot, "v", "left_semi").withColumn("s", F.explode(F.sequence(F.lit(0), F.length("seg") - length)))
-    s = s.select("v", F.substring("seg", F.col("s") + 1, F.lit(length)).alias("seg"), (F.col("before") - F.col("s")).alias("before"), "doc_id", "th", (F.col("start") + F.col("s")).alias("start"))
-    return cold.join(hot, "v", "left_anti").unionByName(s.withColumn("deal", F.xxhash64("v", "before", "seg")))
-
-
 def removals(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
     """doc_id, th (hash of the text), first, last: spans to remove; and the number of batches texts are dealt into."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count, ranges = max(1, math.ceil(size / BATCH)), max(1, math.ceil(size * 0.4 / RANGE))
     settled = keep(copies(docs), "copies")
-    cut = keep(segments(docs, settled, length, count, ranges), "segments")
-    found = with_hot_split(cut, length)
+    found = keep(segments(docs, settled, length, count, ranges), "segments")
     bins = max(1, math.ceil(found.agg(F.sum(F.length("seg"))).first()[0] or 0) // BIN + 1)
 
     def combine(table: pa.Table) -> pa.Table:
@@ -292,7 +277,7 @@ def removals(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
         if held:
             yield from combine(pa.Table.from_batches(held)).select(["bin", "v", "before", "seg", "low", "high"]).to_batches(65_536)
 
-    d = found.select(F.pmod(F.coalesce("deal", "v"), F.lit(bins)).alias("bin"), "v", "before", "seg", F.col("doc_id").alias("low"), F.col("doc_id").alias("high"))
+    d = found.select(F.pmod("v", F.lit(bins)).alias("bin"), "v", "before", "seg", F.col("doc_id").alias("low"), F.col("doc_id").alias("high"))
     distinct = d.mapInArrow(squeeze, "bin long, v long, before long, seg binary, low long, high long").repartition(bins, "bin").withColumn("sh", F.xxhash64("seg"))
 
     def judge(table: pa.Table) -> pa.Table:
@@ -323,7 +308,7 @@ def removals(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
     where = found.select("v", F.xxhash64("seg").alias("sh"), "doc_id", "th", "start").join(judged, ["v", "sh"]).select("doc_id", "th", "start", "least")
     whole = settled.filter(F.col("size") >= length).select("doc_id", "th", F.lit(0).cast("long").alias("first"), F.col("size").alias("last"))
     out = keep(where.mapInArrow(spans, "doc_id long, th long, first long, last long").unionByName(whole), "spans")
-    drop_kept(cut, settled)
+    drop_kept(found, settled)
     return out, count
 
 

@@ -24,6 +24,8 @@ from .encode import encoder
 
 STRATEGIES = {"auto": "auto", "same-crs": "same-crs", "geographic": "geographic", "wgs84": "geographic", "gdal-warp": "warp", "warp": "warp"}
 KERNELS = {"near": "nearest", "nearest": "nearest", "bilinear": "bilinear", "cubic": "cubic", "cubicspline": "cubicspline", "cubic_spline": "cubicspline", "lanczos": "lanczos", "average": "average"}
+#: Source pixels that a task holds as numbers at a time, about.
+SOURCE = 1 << 22
 _RADIUS = {"bilinear": 1.0, "cubic": 2.0, "cubicspline": 2.0, "lanczos": 3.0}
 
 
@@ -126,36 +128,58 @@ def _rounded(v: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(v + 0.5), 0, 255).astype(np.uint8)
 
 
+def crossing(r: Raster, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The source's pixels at some rows and columns, each once, and where each row and column is among them."""
+    own_rows, at = np.unique(rows, return_inverse=True)
+    own_cols, to = np.unique(cols, return_inverse=True)
+    return r.pick(own_rows, own_cols)[:, :, : min(r.bands, 4)].astype(float), at.reshape(rows.shape), to.reshape(cols.shape)
+
+
+def levels(r: Raster, wide_by: float, high_by: np.ndarray) -> list[tuple[Raster, np.ndarray]]:
+    """Target rows by the image that serves them: the smallest overview that is no coarser than the target there, else the raster itself.
+    A row's image depends on its zoom and place alone, so results do not depend on chunks."""
+    images = [r, *r.overviews]
+    use = np.zeros(len(high_by), np.int64)
+    for i, o in enumerate(images[1:], 1):
+        use[(r.width / o.width <= wide_by * (1 + 1e-9)) & (r.height / o.height <= high_by * (1 + 1e-9))] = i
+    return [(images[i], np.flatnonzero(use == i)) for i in np.unique(use).tolist()]
+
+
+def rows_at_once(columns: int, high_by: float) -> int:
+    """Target rows of which SOURCE source pixels hold the taps, about; one at least."""
+    return int(max(1, min(256, SOURCE // (max(1, columns) * max(1.0, high_by)))))
+
+
 def render_area(r: Raster, px: np.ndarray, py: np.ndarray, across: float, strategy: str, kernel: str) -> np.ndarray:
-    """Target pixels (rows, columns, bands); at most four bands of the source."""
-    bands = min(r.bands, 4)
-    cols, rows = source_positions(r, px, py, across)
-    out = np.zeros((len(py), len(px), bands), np.uint8)
+    """Target pixels (rows, columns, bands); at most four bands of the source. Only source rows and columns that have taps are held, some target
+    rows at a time; where the source is finer than the target by far, kernels that widen read overviews."""
+    out = np.zeros((len(py), len(px), min(r.bands, 4)), np.uint8)
     if strategy == "geographic":
+        cols, rows = source_positions(r, px, py, across)
         (xl, xu, xw), (yl, yu, yw) = taps(cols, r.width, kernel == "nearest"), taps(rows, r.height, kernel == "nearest")
-        a, b = int(xl.min()), int(xu.max()) + 1
-        for i in range(0, len(py), 256):  # few source rows at a time
-            lo, hi, wy = yl[i : i + 256], yu[i : i + 256], yw[i : i + 256, None, None]
-            top = int(lo.min())
-            s = r.read(a, top, b, int(hi.max()) + 1)[:, :, :bands].astype(float)
-            wide = s[:, xl - a] * (1 - xw)[:, None] + s[:, xu - a] * xw[:, None]
-            out[i : i + 256] = _rounded(wide[lo - top] * (1 - wy) + wide[hi - top] * wy)
+        some = rows_at_once(2 * len(px), 2)
+        for i in range(0, len(py), some):
+            wy = yw[i : i + some, None, None]
+            s, (lo, hi), (left, right) = crossing(r, np.stack([yl[i : i + some], yu[i : i + some]]), np.stack([xl, xu]))
+            wide = s[:, left] * (1 - xw)[:, None] + s[:, right] * xw[:, None]
+            out[i : i + some] = _rounded(wide[lo] * (1 - wy) + wide[hi] * wy)
         return out
-    # Target pixels whose centre lies in the source.
     inside = lambda p, n: np.flatnonzero((p >= -0.5) & (p < n - 0.5))
-    cx, cy = inside(cols, r.width), inside(rows, r.height)
-    if not len(cx) or not len(cy):
-        return out
-    wide_by, high_by = source_scales(r, py, across)
-    xi, xw = weights(cols[cx], np.full(len(cx), wide_by), r.width, kernel)
-    a, b = int(xi.min()), int(xi.max()) + 1
-    for i in range(0, len(cy), 256):
-        part = cy[i : i + 256]
-        yi, yw = weights(rows[part], high_by[part], r.height, kernel)
-        top = int(yi.min())
-        s = r.read(a, top, b, int(yi.max()) + 1)[:, :, :bands].astype(float)
-        wide = sum(s[:, xi[:, k] - a] * xw[:, k, None] for k in range(xi.shape[1]))
-        out[np.ix_(part, cx)] = _rounded(sum(wide[yi[:, k] - top] * yw[:, k, None, None] for k in range(yi.shape[1])))
+    for o, mine in levels(r, *source_scales(r, py, across)) if kernel != "nearest" else [(r, np.arange(len(py)))]:
+        # Target pixels whose centre lies in the source.
+        cols, rows = source_positions(o, px, py, across)
+        cx, cy = inside(cols, o.width), mine[inside(rows[mine], o.height)]
+        if not len(cx) or not len(cy):
+            continue
+        wide_by, high_by = source_scales(o, py, across)
+        xi, xw = weights(cols[cx], np.full(len(cx), wide_by), o.width, kernel)
+        some = rows_at_once(xi.size, float(high_by[cy].max()))
+        for i in range(0, len(cy), some):
+            part = cy[i : i + some]
+            yi, yw = weights(rows[part], high_by[part], o.height, kernel)
+            s, at, to = crossing(o, yi, xi)
+            wide = sum(s[:, to[:, k]] * xw[:, k, None] for k in range(xi.shape[1]))
+            out[np.ix_(part, cx)] = _rounded(sum(wide[at[:, k]] * yw[:, k, None, None] for k in range(yi.shape[1])))
     return out
 
 

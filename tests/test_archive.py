@@ -23,6 +23,21 @@ def test_header_round_trip(spark):
     assert (row.root_length, row.data_length, row.tile_type_name, row.min_lon_e7, row.max_zoom) == (5, 1 << 40, "webp", -1800000000, 31)
 
 
+def test_header_of_columns(spark):
+    h = codec.Header(root_length=5, data_length=1 << 40, tile_type=4, min_lon_e7=-1800000000, center_lat_e7=-1, max_zoom=31)
+    values = {k: F.lit(getattr(h, k)) for k in ("root_length", "data_length", "tile_type", "min_lon_e7", "center_lat_e7", "max_zoom")}
+    assert bytes(spark.range(1).select(codec.header_bytes(values)).first()[0]) == h.pack()
+
+
+def test_tiles_lie_in_order(spark, tmp_path):
+    """Empty tiles among them; tasks write to places of one file."""
+    t = spark.range(500).repartition(7).select((F.col("id") * 7919 % 5000).alias("tile_id"), F.expr("cast(repeat(cast(id as string), cast(id % 5 as int)) as binary)").alias("data"))
+    h = archive.write_archive(t, f"{tmp_path}/a", "{}", codec.Header())
+    want = b"".join(bytes(r.data) for r in t.orderBy("tile_id").collect())
+    raw = (tmp_path / "a").read_bytes()
+    assert raw[h.data_offset :] == want and len(want) == h.data_length and os.listdir(tmp_path) == ["a"]
+
+
 @pytest.mark.parametrize("bad", [b"x" * 200, b"PMTiles\x02" + bytes(150), b"PMTiles\x03" + bytes(50)])
 def test_bad_archives(spark, bad):
     with pytest.raises(ValueError):

@@ -121,11 +121,28 @@ def little_endian(content: Column, at: int, size: int, signed: bool = False) ->
     return F.when(v >= 1 << 8 * size - 1, v - (1 << 8 * size)).otherwise(v) if signed else v
 
 
+def little_endian_bytes(value, size: int) -> Column:
+    """The low bytes of an integer column, as they are stored."""
+    text = F.lpad(F.hex(_c(value).cast("long")), 16, "0")
+    return F.unhex(F.concat(*(F.substring(text, 15 - 2 * i, 2) for i in range(size))))
+
+
+def _size(name: str) -> tuple[int, bool]:
+    """Bytes of a field, and whether it has a sign."""
+    return (8, False) if name in _LONG else (4, True) if name.endswith("_e7") else (1, False)
+
+
+def header_bytes(values: dict) -> Column:
+    """A header of columns by field, in generated code; fields left out have their defaults."""
+    every = [little_endian_bytes(values.get(f.name, F.lit(f.default)), _size(f.name)[0]) for f in fields(Header)]
+    return F.concat(F.lit(MAGIC), little_endian_bytes(F.lit(VERSION), 1), *every)
+
+
 def header_columns(content) -> dict[str, Column]:
     """All fields of the header, read in generated code; for files that are archives (see is_archive)."""
     c, out, at = _c(content), {}, 8
     for f in fields(Header):
-        size, signed = (8, False) if f.name in _LONG else (4, True) if f.name.endswith("_e7") else (1, False)
+        size, signed = _size(f.name)
         out[f.name] = little_endian(c, at, size, signed)
         at += size
     return {"version": little_endian(c, 7, 1)} | out

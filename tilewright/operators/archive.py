@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,17 +12,18 @@ from ..functions import codec, text
 from ..plans import layout
 from ..sources import tiles as xyz
 from ..sources.archive import headers
-from ..storage import keep
+from ..storage import drop_kept, keep
 
 
 def write_archive(tiles: DataFrame, path: str, metadata: str, header: codec.Header) -> codec.Header:
     """tiles: tile_id, data. Writes path: header, root, metadata, leaves, tiles in id order.
 
     Lengths and offsets are computed in Spark before the first byte is written, so directories need no reserve and leave no gap.
-    The driver only streams tiles in order, one partition at a time. The file appears under its name when it is whole.
+    The driver writes the directories; tasks write their tiles at their places, so path must be one that all executors see. A task
+    that runs again writes the same bytes to the same places. The file appears under its name when it is whole.
     Several tiles with one id raise; zero-length tiles are taken.
     """
-    t = keep(tiles.select("tile_id", "data").repartitionByRange("tile_id").sortWithinPartitions("tile_id"), "tiles")
+    t = keep(tiles.select("tile_id", "data"), "tiles")
     entries = keep(layout.with_offsets(t.select("tile_id", F.length("data").cast("long").alias("length"))), "entries")
     n, ids, total, longest = entries.agg(F.count("*"), F.count_distinct("tile_id"), F.sum("length"), F.max("length")).first()
     if not n:
@@ -39,22 +41,42 @@ def write_archive(tiles: DataFrame, path: str, metadata: str, header: codec.Head
     h.leaf_length = leaves.agg(F.sum(F.length("raw"))).first()[0] if leaves else 0
     h.data_offset, h.data_length = h.leaf_offset + h.leaf_length, total
     h.addressed = h.entries = h.contents = n
-    part = f"{path}.part"
+    part = f"{os.path.abspath(path)}.part"
     try:
         with open(part, "wb") as f:
             f.write(h.pack() + root + meta)
             if leaves:
                 for r in leaves.orderBy("leaf").select("raw").toLocalIterator():
                     f.write(r[0])
-            for r in t.orderBy("tile_id").select("data").toLocalIterator():
-                f.write(r[0])
+            f.truncate(h.data_offset + total)
+        written = place(t.join(entries.select("tile_id", "offset"), "tile_id"), part, h.data_offset)
+        if written != total:
+            raise RuntimeError(f"{written} of {total} bytes were written")
         os.replace(part, path)
     finally:
         if os.path.exists(part):
             os.remove(part)
+    drop_kept(t, entries)
     return h
 
 
+def place(tiles: DataFrame, path: str, start: int) -> int:
+    """Writes data at start + offset of a file that is there already, each task its tiles in order; the number of bytes."""
+
+    def write(batches):
+        done = 0
+        with open(path, "r+b") as f:
+            for b in batches:
+                for at, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    f.seek(start + at)
+                    done += f.write(data.as_buffer())
+            f.flush()
+            os.fsync(f.fileno())
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["bytes"])
+
+    return tiles.select("offset", "data").sortWithinPartitions("offset").mapInArrow(write, "bytes long").agg(F.sum("bytes")).first()[0] or 0
+
+
 def header_for(fmt: str, min_zoom: int, max_zoom: int, bounds) -> codec.Header:
     w, s, e, n = bounds
     return codec.Header(

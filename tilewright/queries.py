@@ -454,9 +454,9 @@ def local_path(spark, name: str) -> str:
 
 @query("""SELECT n_nationkey, (127 + n_nationkey)::BIGINT AS root_length, n_nationkey::BIGINT * 123456789012 AS data_length, (n_nationkey % 7)::BIGINT AS tile_type, -(n_nationkey::BIGINT * 71234567) AS min_lon_e7, 3::BIGINT AS version FROM nation""")
 def q_header_roundtrip(spark, sf_dir):
-    """Headers packed row by row, read back with columns."""
-    pack = F.udf(lambda k: bytearray(codec.Header(root_length=127 + k, data_length=k * 123456789012, tile_type=k % 7, min_lon_e7=-k * 71234567).pack()), "binary")
-    h = table(spark, sf_dir, "nation").select("n_nationkey", pack("n_nationkey").alias("content"))
+    """Headers built of columns and read back."""
+    k = F.col("n_nationkey").cast("long")
+    h = table(spark, sf_dir, "nation").select("n_nationkey", codec.header_bytes({"root_length": 127 + k, "data_length": k * 123456789012, "tile_type": k % 7, "min_lon_e7": -k * 71234567}).alias("content"))
     c = codec.header_columns("content")
     return h.filter(codec.is_archive("content")).select("n_nationkey", *(c[k].alias(k) for k in ("root_length", "data_length", "tile_type", "min_lon_e7", "version")))
 

@@ -10,7 +10,6 @@ import sys
 from pyspark.sql import SparkSession
 
 from .operators import archive, render
-from .plans import jobs
 
 
 def zooms(s: str) -> tuple[int, int]:
@@ -112,9 +111,7 @@ def main(argv: list[str]) -> int:
         else:
             o = render.Options(*a.zoom, bounds=a.bounds, fmt=a.format.replace("jpeg", "jpg"), tile_size=a.tile_size, resampling=a.resampling, strategy=a.strategy, chunk=a.chunk_tiles, workers=a.workers, memory=a.warp_memory, quality=a.quality)
             if a.plan:
-                j, plan, b = render.planned(spark, a.raster, o)
-                print(f"bounds {b}, {j.count()} tiles")
-                plan.orderBy("z").show(jobs.grid.MAX_ZOOM + 1, truncate=False)
+                print(render.plan_report(spark, a.raster, o))
             else:
                 print(render.raster(spark, a.raster, a.archive, o))
     except (ValueError, OSError, RuntimeError) as e:

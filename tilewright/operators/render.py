@@ -216,6 +216,25 @@ def planned(spark: SparkSession, path: str, o: Options) -> tuple[DataFrame, Data
     return plan.with_chunks(j, c), p, bounds
 
 
+def plan_report(spark: SparkSession, path: str, o: Options) -> str:
+    """Lines: options, source, coverage, first tile with its bounds, and a line a zoom with its chunks. Nothing is rendered."""
+    r = open_raster(path)
+    jobs, chunks, bounds = planned(spark, path, o)
+    first = jobs.orderBy("tile_id").limit(1).select("z", "x", "y", "tile_id", grid.lonlat_bounds("z", "x", "y").alias("b")).first()
+    zooms = chunks.orderBy("z").collect()  # a row a zoom
+    degrees = lambda v: ", ".join(f"{x:.7f}" for x in v)
+    lines = [
+        "Options", *(f"  {k.replace('_', ' ')}: {v}" for k, v in vars(o).items() if k != "bounds"),
+        "Source", f"  {r.width} x {r.height}, {r.bands} bands, EPSG:{r.epsg}, {len(r.overviews)} overviews", f"  strategy: {select_strategy(r.epsg, r.north_up, r.bits == 8, o.resampling, o.strategy)}",
+        "Coverage", f"  bounds: {degrees(bounds)}{'' if o.bounds else ' (inferred)'}", f"  tiles: {sum(z.tiles for z in zooms)}",
+    ]
+    if first:
+        lines.append(f"  first tile: {first.z}/{first.x}/{first.y}, id {first.tile_id}, bounds {degrees(first.b)}")
+    lines.append("Zooms")
+    lines += [f"  {z.z}: {z.tiles} tiles, x {z.min_x}-{z.max_x}, y {z.min_y}-{z.max_y}, chunk {z.chunk or 'off'}, {z.chunks} chunks, widest {z.widest} x {z.highest} tiles, {z.mib:.1f} MiB" for z in zooms]
+    return "\n".join(lines)
+
+
 def render(spark: SparkSession, path: str, o: Options) -> DataFrame:
     """tile_id, data of every tile. path must be one that all executors see. No barrier between zooms: chunks of all zooms are one stage."""
     r = open_raster(path)

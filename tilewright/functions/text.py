@@ -13,6 +13,8 @@ COMPRESSIONS = {1: "none", 2: "gzip", 3: "brotli", 4: "zstd"}
 #: Extensions of tile files, and the format each means.
 EXTENSIONS = {"png": "png", "jpg": "jpg", "jpeg": "jpg", "webp": "webp", "avif": "avif"}
 FORMAT_CODES = {"png": 2, "jpg": 3, "webp": 4, "avif": 5}
+#: Whole numbers of any size that texts are made of; longs are too short for some.
+WHOLE = "decimal(38,0)"
 
 
 def _named(code, names: dict) -> Column:
@@ -43,11 +45,12 @@ def count_text(n) -> Column:
 
 
 def bytes_text(n) -> Column:
-    """Bytes as B, or with one decimal as KiB to TiB."""
-    n = _c(n).cast("long")
-    out = F.format_string("%d B", n)
+    """Bytes as B, or with one decimal as KiB to TiB; null for null. Units are of n as a double, rounded as C does: by its exact
+    value, ties to even. (Java's %.1f rounds the shortest digits, ties up.) All digits are exact below 2^93 bytes."""
+    n = _c(n).cast(WHOLE)
+    out = F.concat(n.cast("string"), F.lit(" B"))
     for i, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(n >= 1 << 10 * i, F.format_string(f"%.1f {unit}", n / float(1 << 10 * i))).otherwise(out)
+        out = F.when(n >= 1 << 10 * i, F.concat(F.call_function("format_number", n.cast("double") / float(1 << 10 * i), F.lit("0.0")), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

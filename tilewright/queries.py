@@ -414,8 +414,10 @@ def q_metadata_json(spark, sf_dir):
 
 
 def order_sizes(spark, sf_dir):
+    """n in 38 digits: from key 2 147 482 on, squares leave a long; these digits hold them to 7e15."""
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", (F.when(k % 3 == 0, k * 7919 + 13).when(k % 3 == 1, k * k * 1000003 + 7).otherwise(k % 2000) * 2 + 1).alias("n"))
+    wide = k.cast(text.WHOLE)
+    return table(spark, sf_dir, "orders").select("o_orderkey", (F.when(k % 3 == 0, wide * 7919 + 13).when(k % 3 == 1, wide * wide * 1000003 + 7).otherwise(k % 2000) * 2 + 1).alias("n"))
 
 
 SQL_ORDER_SIZES = "s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey * 7919 + 13 WHEN o_orderkey % 3 = 1 THEN o_orderkey * o_orderkey * 1000003 + 7 ELSE o_orderkey % 2000 END * 2 + 1 AS n FROM orders)"

@@ -29,7 +29,7 @@ def test_against_sql(spark, name):
     assert got == rows([c[0] for c in cur.description], cur.fetchall()) and got
 
 
-@pytest.mark.parametrize("name", ["q_format_bytes"])
+@pytest.mark.parametrize("name", ["q_format_bytes", "q_format_count"])
 def test_sizes_beyond_a_long(spark, tmp_path, name):
     """Keys of large tables, and none. In DuckDB the same SQL does not overflow on keys that are HUGEINT."""
     at = f"{tmp_path}/orders.parquet"

@@ -41,7 +41,7 @@ def format_of_extension(ext) -> Column:
 
 
 def count_text(n) -> Column:
-    return F.format_number(_c(n).cast("long"), 0)
+    return F.format_number(_c(n).cast(WHOLE), 0)
 
 
 def bytes_text(n) -> Column:
@@ -63,12 +63,12 @@ def yes_no(flag) -> Column:
 
 
 def tiles_text(n) -> Column:
-    n = _c(n).cast("long")
+    n = _c(n).cast(WHOLE)
     return F.concat(count_text(n), F.when(n == 1, " tile").otherwise(" tiles"))
 
 
 def section_text(length, offset) -> Column:
-    return F.format_string("%d @ %d", _c(length).cast("long"), _c(offset).cast("long"))
+    return F.concat(_c(length).cast(WHOLE).cast("string"), F.lit(" @ "), _c(offset).cast(WHOLE).cast("string"))
 
 
 def field_text(label: str, value, width: int = 20) -> Column:
